@@ -17,7 +17,7 @@ K = 3
 #: Diagonals this near belong together: so many words may be put in or left out between hits.
 NEAR = 3
 #: The least share of a template's words that hits must cover.
-COVER = 0.8
+COVER = 0.9
 
 #: Phrases of the base rule and their labels.
 PHRASES = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
