@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.plans.storage import forget, shared_folder, written  # noqa: F401
+
 #: ASCII white space: what separates words in the contracts of this package.
 SPACES = " \t\n\r\x0b\x0c"
 
@@ -26,37 +25,6 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and all executors see: below spark.checkpoint.dir, which a cluster must set.
-
-    Only a local master, where all run on one machine, may do without that setting.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not (spark.sparkContext.master or "").startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="brindle-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, folder: str | None = None, **options: str) -> DataFrame:
-    """df written as Parquet to a shared folder and read again: computed once, with no lineage left."""
-    spark = df.sparkSession
-    path = folder or shared_folder(spark, name)
-    df.write.options(compression="zstd", **options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(spark: SparkSession, *frames: DataFrame) -> None:
-    """Deletes the files of frames that written() made and that no later step reads."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for df in frames:
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
-
-
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit finaliser (splitmix64): equal inputs give equal outputs, nearly equal ones unrelated ones."""
     with np.errstate(over="ignore"):
