@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -32,7 +33,9 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + 0.1 * same * (1 - jaro) if jaro > 0.7 else jaro
 
 
-@F.pandas_udf("double")
-def jaro_winkler_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for a, b in batches:
-        yield pd.Series([None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+def jaro_winkler_column(a: Column | str, b: Column | str) -> Column:
+    def similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for x, y in batches:
+            yield pd.Series([None if p is None or q is None else jaro_winkler(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
+
+    return F.pandas_udf(similar, "double", F.PandasUDFType.SCALAR_ITER)(a, b)
