@@ -28,19 +28,23 @@ LEAST, USUAL, MOST, WINDOW = 128, 512, 4096, 16
 STAGED = "kind string, name string, doc_id long, n_tokens long, chunks array<string>, sizes array<int>, root string, ids binary"
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Where chunks end. Ends depend on the WINDOW ids before them and on the last end alone."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
+def rolling_hits(ids: np.ndarray) -> np.ndarray:
+    """Places where a chunk may end: the hash of the WINDOW ids before them says so."""
+    if len(ids) < WINDOW:
+        return np.zeros(0, np.int64)
     g = mix(ids.astype(np.uint64))
+    n = len(ids) - WINDOW + 1
     with np.errstate(over="ignore"):
-        h = np.zeros(n - WINDOW + 1, np.uint64)
+        h = np.zeros(n, np.uint64)
         for i in range(WINDOW):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + g[i : n - WINDOW + 1 + i]
-    hits = np.flatnonzero((h >> np.uint64(33)) % np.uint64(USUAL - LEAST) == 0) + WINDOW
+            h = h * np.uint64(0x9E3779B97F4A7C15) + g[i : n + i]
+    return np.flatnonzero((h >> np.uint64(33)) % np.uint64(USUAL - LEAST) == 0) + WINDOW
+
+
+def cuts(n: int, hits: list[int]) -> list[int]:
+    """Where the chunks of n ids end, given the hits. A chunk has LEAST ids or more, so no hash reaches beyond it."""
     ends, last = [], 0
-    for e in [*hits.tolist(), n]:
+    for e in [*hits, n]:
         while e - last > MOST:
             last += MOST
             ends.append(last)
@@ -77,11 +81,18 @@ def stage(path: str, end_id: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part, rows = batch.slice(at, 500), []
-                for doc, data in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
-                    ids = np.frombuffer(data + end, "<u4")
+                streams = [x + end for x in encode(part.column(1).to_pylist())]
+                whole = np.frombuffer(b"".join(streams), "<u4")
+                hits, narrow, first = rolling_hits(whole), packed(whole), 0
+                width = int(narrow[:1])
+                for doc, data in zip(part.column(0).to_pylist(), streams, strict=True):
+                    n = len(data) // 4
+                    inside = hits[np.searchsorted(hits, first + LEAST) : np.searchsorted(hits, first + n)] - first
                     names, sizes, last = [], [], 0
-                    for e in cuts(ids):
-                        own = packed(ids[last:e])
+                    for e in cuts(n, inside.tolist()):
+                        own = narrow[:1] + narrow[1 + width * (first + last) : 1 + width * (first + e)]
+                        if width == 4:  # the width is each chunk's own, whatever stands beside it
+                            own = packed(unpacked(own))
                         name = hashlib.sha256(own).hexdigest()
                         if name not in sent:
                             sent.add(name)
@@ -89,7 +100,8 @@ def stage(path: str, end_id: int):
                         names.append(name)
                         sizes.append(e - last)
                         last = e
-                    rows.append(("recipe", f"{where}/{count}", doc, len(ids), names, sizes, merkle(names), None))
+                    first += n
+                    rows.append(("recipe", f"{where}/{count}", doc, n, names, sizes, merkle(names), None))
                     count += 1
                 if len(sent) > 200_000:
                     sent.clear()
