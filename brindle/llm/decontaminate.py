@@ -135,6 +135,13 @@ def _search(items: list[tuple[int, str]], radius: int, threshold: float):
     return run
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of docs without items, with all their columns. Found rows, a small part, are taken out by their numbers."""
+    numbered = docs.withColumn("_row_number", F.monotonically_increasing_id())
+    found = decontaminate(numbered.select(F.col("_row_number").alias("doc_id"), F.col("text")), benchmark, **options).where("contaminated")
+    return numbered.join(found.select(F.col("doc_id").alias("_row_number")), "_row_number", "left_anti").select(*docs.columns)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY, radius: int = RADIUS, at_once: int = ITEMS_AT_ONCE) -> DataFrame:
     """One row a document: doc_id, contaminated, n_items, item_ids (ascending), similarity (the best, 0 without items).
 

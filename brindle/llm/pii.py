@@ -7,8 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
-
 #: Characters before a proposal in which context words count.
 CONTEXT = 40
 #: Proposals of the kinds beyond the base ones need this score.
@@ -108,16 +106,21 @@ def _places(text: Column, pattern: str, found: Column) -> Column:
     return F.when(F.size(found) > 0, walked).otherwise(empty)
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carry: list[str] | None = None) -> DataFrame:
     """One row a document: doc_id, base and spans (arrays of struct start, rank, end, kind, text, score, by start).
 
     Null and empty texts have no spans; a null doc_id and repeated rows stay; an empty table gives none. Each row
-    depends on its own text alone.
+    depends on its own text alone. keep_text adds the text, carry a struct of other columns, named carried.
     """
-    df = id_and_text(docs, id_col, text_col)
+    kept = [*["text"] * keep_text, *["carried"] * bool(carry)]
+    df = docs.select(
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
+        *[F.struct(*[F.col(f"`{c}`") for c in carry or []]).alias("carried")] * bool(carry),
+    )
+    own = ["doc_id", "text", *["carried"] * bool(carry)]
     kinds = [*BASE, *ADDED]
-    df = df.select("doc_id", "text", *[_matches(F.col("text"), k).alias(f"m{i}") for i, k in enumerate(kinds)])
-    df = df.select("doc_id", "text", *[_places(F.col("text"), k.pattern, F.col(f"m{i}")).alias(f"p{i}") for i, k in enumerate(kinds)])
+    df = df.select(*own, *[_matches(F.col("text"), k).alias(f"m{i}") for i, k in enumerate(kinds)])
+    df = df.select(*own, *[_places(F.col("text"), k.pattern, F.col(f"m{i}")).alias(f"p{i}") for i, k in enumerate(kinds)])
 
     def checked(i: int, kind: Kind) -> Column:
         spans = F.col(f"p{i}")
@@ -133,10 +136,10 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
 
         return F.transform(spans, scored)
 
-    df = df.select("doc_id", "text", F.sort_array(F.concat(*[checked(i, k) for i, k in enumerate(BASE)])).alias("base"), F.concat(*[checked(i + len(BASE), k) for i, k in enumerate(ADDED)]).alias("more"))
+    df = df.select(*own, F.sort_array(F.concat(*[checked(i, k) for i, k in enumerate(BASE)])).alias("base"), F.concat(*[checked(i + len(BASE), k) for i, k in enumerate(ADDED)]).alias("more"))
     fresh = F.filter("more", lambda s: (s["score"] >= LEAST_SCORE) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     df = df.withColumn("spans", F.when(F.size("more") > 0, F.sort_array(F.concat("base", fresh))).otherwise(F.col("base")))
-    return df.select("doc_id", *["text"] * keep_text, "base", "spans")
+    return df.select("doc_id", *kept, "base", "spans")
 
 
 def joined(spans: str) -> Column:

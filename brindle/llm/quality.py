@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import SPACES, id_and_text, pick
 
@@ -74,13 +75,16 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         rows = [counts(t) for t in batch.column(1).to_pylist()]
         cols = list(zip(*rows)) if rows else [()] * len(COUNTS)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", *COUNTS])
+        rest = batch.columns[2:]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols), *rest], names=["doc_id", *COUNTS, *["whole"] * len(rest)])
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id and COUNTS. Null texts count as empty; rows stay one for one."""
-    rows = id_and_text(docs, id_col, text_col).mapInArrow(_count_batches, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
-    return rows
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """One row a document: doc_id and COUNTS, and if asked for its whole row, a struct. Null texts count as empty."""
+    rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")] * whole
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), *rest)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(c, T.LongType()) for c in COUNTS], *[f for f in rows.schema if f.name == "whole"]])
+    return rows.mapInArrow(_count_batches, schema)
 
 
 @dataclass(frozen=True)
@@ -207,11 +211,15 @@ def quality_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
     Null and empty texts have no words and fail the base. A null doc_id and repeated rows stay; an empty table gives none.
     """
+    return _judged(docs, labels, False, **options).select("doc_id", *COUNTS[:5], "base_failed", "kept")
+
+
+def _judged(docs: DataFrame, labels: DataFrame, whole: bool, **options) -> DataFrame:
     rules = fit_rules(docs, labels, **options)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return (
-        statistics(docs)
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & rules.keeps())
-        .select("doc_id", *COUNTS[:5], "base_failed", "kept")
-    )
+    return statistics(docs, whole=whole).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & rules.keeps())
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns; one pass, no join."""
+    return _judged(docs, labels, True, **options).where("kept").select("whole.*")

@@ -29,6 +29,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_main_text
+
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .passages import repeated_passages
 
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_decontamination": op2_decontamination,
     "op3_quality_rules": op3_quality_rules,
+    "op4_html_extraction": op4_html_extraction,
     "op5_repeated_passages": op5_repeated_passages,
     "op6_license_scan": op6_license_scan,
     "op7_best_fit_packing": op7_best_fit_packing,
