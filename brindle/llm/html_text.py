@@ -121,59 +121,64 @@ def parse(page: str) -> list[Node]:
     return nodes
 
 
+_GOOD, _MENU, _FRAME, _SIDE, _NOTICE = (1 << list(HINTS).index(x) for x in ("good", "menu", "frame", "side", "notice"))
+#: What a tag says to its descendants, as bits of HINTS.
+_SAYS = {"article": _GOOD, "main": _GOOD, "nav": _MENU, "header": _FRAME, "footer": _FRAME, "aside": _SIDE, "form": _NOTICE}
+_TAG = {t: i for i, t in enumerate(TAGS)} | {f"h{i}": TAGS.index("h") for i in range(1, 7)}
+
+
 def features(nodes: list[Node]) -> np.ndarray:
     n = len(nodes)
-    chars, links, marks, kids, paras, words = (np.zeros(n) for _ in range(6))
-    hint_up = np.zeros((n, len(HINTS)))
+    chars, links, marks, kids, paras, words = ([0] * n for _ in range(6))
     for i in range(n - 1, -1, -1):
         x = nodes[i]
-        own = " ".join(t for t in x.content if isinstance(t, str)).split()
-        size = sum(map(len, own))
-        chars[i] += size
-        words[i] += len(own)
-        marks[i] += sum(w[-1] in ".!?…:;," for w in own)
-        kids[i] += 1
-        paras[i] += x.tag == "p"
-        if x.tag == "a":
-            links[i] = chars[i]
         if x.tag in RAW:
-            chars[i] = links[i] = marks[i] = words[i] = 0
-        if x.parent >= 0:
-            for a in (chars, links, marks, kids, paras, words):
-                a[x.parent] += a[i]
-    total = max(chars[0], 1.0)
-    out = np.zeros((n, len(TAGS) + 2 * len(HINTS) + 14))
+            kids[i] += 1
+        else:
+            for t in x.content:
+                if t.__class__ is str:
+                    own = t.split()
+                    chars[i] += sum(map(len, own))
+                    words[i] += len(own)
+                    marks[i] += t.count(". ") + t.count(", ") + t.count("! ") + t.count("? ") + (t[-1:] in ".!?")
+            kids[i] += 1
+            paras[i] += x.tag == "p"
+            if x.tag == "a":
+                links[i] = chars[i]
+        up = x.parent
+        if up >= 0:
+            chars[up] += chars[i]
+            links[up] += links[i]
+            marks[up] += marks[i]
+            kids[up] += kids[i]
+            paras[up] += paras[i]
+            words[up] += words[i]
+    tags, depth, parents, own_bits, up_bits, never = ([0] * n for _ in range(6))
+    place, among = [0] * n, [1] * n
     for i, x in enumerate(nodes):
-        tag = "h" if re.fullmatch("h[1-6]", x.tag) else x.tag
-        out[i, TAGS.index(tag) if tag in TAGS else TAGS.index("inline")] = 1
+        tags[i] = _TAG.get(x.tag, TAGS.index("inline"))
+        depth[i], parents[i], never[i] = x.depth, max(x.parent, 0), x.tag in NEVER
         for h in x.hints:
-            out[i, len(TAGS) + h] += 1
+            own_bits[i] |= 1 << h
         if x.parent >= 0:
-            hint_up[i] = np.maximum(hint_up[x.parent], out[x.parent, len(TAGS) : len(TAGS) + len(HINTS)])
-            hint_up[i] = np.maximum(hint_up[i], _semantic(nodes[x.parent].tag))
-        up = nodes[x.parent] if x.parent >= 0 else x
-        place = up.children.index(i) if i in up.children[:200] else 200
-        out[i, len(TAGS) + len(HINTS) : len(TAGS) + 2 * len(HINTS)] = hint_up[i]
-        out[i, -14:] = (
-            x.depth, np.log1p(chars[i]), chars[i] / total, links[i] / max(chars[i], 1), marks[i] / max(words[i], 1), np.log1p(kids[i]), chars[i] / kids[i],
-            np.log1p(paras[i]), place, place / max(len(up.children), 1), np.log1p(len(up.children)), chars[i] / max(chars[x.parent] if x.parent >= 0 else total, 1),
-            words[i] / max(kids[i], 1), float(x.tag in NEVER),
-        )
-    return out
-
-
-def _semantic(tag: str) -> np.ndarray:
-    v = np.zeros(len(HINTS))
-    kind = {"article": "good", "main": "good", "nav": "menu", "header": "frame", "footer": "frame", "aside": "side", "form": "notice"}.get(tag)
-    if kind:
-        v[list(HINTS).index(kind)] = 1
-    return v
+            up_bits[i] = up_bits[x.parent] | own_bits[x.parent] | _SAYS.get(nodes[x.parent].tag, 0)
+        for at, c in enumerate(x.children):
+            place[c], among[c] = at, len(x.children)
+    c, li, m, k, w, up = (np.array(v, float) for v in (chars, links, marks, kids, words, parents))
+    some, total = np.maximum(c, 1), max(c[0], 1.0)
+    pl, am = np.array(place, float), np.array(among, float)
+    bit = np.arange(len(HINTS))
+    return np.column_stack([
+        np.array(tags)[:, None] == np.arange(len(TAGS)), np.array(own_bits)[:, None] >> bit & 1, np.array(up_bits)[:, None] >> bit & 1, np.array(depth, float),
+        np.log1p(c), c / total, li / some, m / np.maximum(w, 1), np.log1p(k), c / k, np.log1p(np.array(paras, float)), np.minimum(pl, 200), pl / am, np.log1p(am),
+        c / np.maximum(c[up.astype(int)], 1), w / k, np.array(never, float),
+    ])
 
 
 class Trees:
     """Gradient boosting for two classes: depth-limited regression trees on quantile bins, Newton steps."""
 
-    def __init__(self, rounds: int = 40, depth: int = 4, rate: float = 0.3, bins: int = 24, ridge: float = 1.0) -> None:
+    def __init__(self, rounds: int = 30, depth: int = 4, rate: float = 0.3, bins: int = 24, ridge: float = 1.0) -> None:
         self.rounds, self.depth, self.rate, self.bins, self.ridge = rounds, depth, rate, bins, ridge
         self.trees: list = []
         self.bias = 0.0
