@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import clocks, hashing, paths
 from brindle.functions.similarity import jaro_winkler_column
-from brindle.operators import dedup, hierarchy, merge, reports, treemap
+from brindle.operators import actions, dedup, hierarchy, merge, reports, treemap
 from brindle.plans import filters
 from brindle.sources.corpus import AS_OF, CATALOG_SQL, Corpus
 from brindle.streaming import changes
@@ -587,3 +587,76 @@ def _(c):
     docs = c.table("documents").where("lang = 'en'")
     each = docs.select(F.col("doc_id").alias("source"), F.explode(F.regexp_extract_all("text", F.lit(r"(?:^|[ \n])the ([a-z]+)"), F.lit(1))).alias("target"))
     return each.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- actions, schedules and the sparse tables ----------------------------------------------------------------------
+
+
+@query("copy_files", """SELECT sha256(volume_id || ':' || p) AS id, object_id, volume_id, p AS path, regexp_extract(p, '[^/]+$') AS name, 'bak' AS extension, size_bytes, size_bytes AS allocated_bytes FROM (SELECT *, path || '.bak' AS p FROM locations WHERE fid % 6 = 0)""")
+def _(c):
+    plan = c.locations.where("fid % 6 = 0").select("volume_id", "path", F.concat("path", F.lit(".bak")).alias("new_path"))
+    return actions.copies(c.locations, plan)
+
+
+@query("create_directories", """SELECT sha256('new:/new/' || n_name) AS id, sha256('dir-v1|/new/' || n_name) AS object_id, 'new' AS volume_id, '/new/' || n_name AS path, n_name AS name, true AS is_directory, CAST(0 AS BIGINT) AS size_bytes, CAST(NULL AS VARCHAR) AS parent_id FROM nation""", catalog=False)
+def _(c):
+    return actions.new_directories(c.table("nation").select(F.lit("new").alias("volume_id"), F.concat(F.lit("/new/"), F.col("n_name")).alias("path")))
+
+
+@query("share_plan", _REF + ' SELECT a.path AS source, b.path AS destination, b.size_bytes AS bytes FROM r a JOIN r b ON a."group" = b."group" AND a.is_reference AND NOT b.is_reference AND a.size_bytes = b.size_bytes')
+def _(c):
+    return actions.share_plan(_referenced(c))
+
+
+@query("content_id_rules", """SELECT path, CASE WHEN fid % 4 = 0 THEN 'cached' WHEN strlen(content) = 0 THEN sha256('') WHEN k % 10 = 0 THEN sha256('deferred-v1|' || length(volume_id) || '|' || volume_id || '|' || fid || '|0|' || strlen(content)) ELSE sha256(content) END AS id FROM files""")
+def _(c):
+    size = F.octet_length("content").cast("long")
+    cached = F.when(F.col("fid") % 4 == 0, "cached")
+    return c.files.select("path", actions.content_ids(F.col("volume_id"), F.col("path"), F.col("fid"), F.lit(0), size, F.lit(False), cached, F.col("content"), F.col("k") % 10 == 0).alias("id"))
+
+
+@query("cursor_store", "SELECT CAST(n_nationkey AS VARCHAR) AS volume_key, CASE WHEN n_regionkey < 2 THEN 'new' ELSE 'old' END AS cursor FROM nation WHERE n_regionkey <> 4 OR n_nationkey > 0", catalog=False)
+def _(c):
+    n = c.table("nation").select(F.col("n_nationkey").cast("string").alias("volume_key"), "n_regionkey")
+    return actions.save_cursors(n.select("volume_key", F.lit("old").alias("cursor")), n.where("n_regionkey < 2").select("volume_key", F.lit("new").alias("cursor")))
+
+
+@query("paired_moves", """WITH f AS (SELECT event_id // 4 AS cookie, event_id AS a, 'p' || event_id AS path FROM events WHERE event_id % 4 = 0), t AS (SELECT event_id // 4 AS cookie, event_id + CASE WHEN user_id % 3 = 0 THEN 1000 ELSE 0 END AS b, 'q' || event_id AS new_path FROM events WHERE event_id % 4 = 1 AND user_id % 2 = 0), j AS (SELECT coalesce(f.cookie, t.cookie) AS cookie, a, b, path, new_path, a IS NULL OR b IS NULL OR b NOT BETWEEN a AND a + 500 AS late FROM f FULL JOIN t ON f.cookie = t.cookie)
+SELECT cookie, 'Moved' AS kind, path, new_path FROM j WHERE NOT late UNION ALL SELECT cookie, 'Deleted', path, NULL FROM j WHERE late AND a IS NOT NULL UNION ALL SELECT cookie, 'Created', NULL, new_path FROM j WHERE late AND b IS NOT NULL""", catalog=False)
+def _(c):
+    e = c.table("events")
+    cookie = F.floor(F.col("event_id") / 4).alias("cookie")
+    start = e.where("event_id % 4 = 0").select(cookie, F.lit("from").alias("kind"), F.col("event_id").alias("at"), F.concat(F.lit("p"), "event_id").alias("path"))
+    end = e.where("event_id % 4 = 1 AND user_id % 2 = 0").select(cookie, F.lit("to").alias("kind"), F.expr("event_id + CASE WHEN user_id % 3 = 0 THEN 1000 ELSE 0 END").alias("at"), F.concat(F.lit("q"), "event_id").alias("path"))
+    return changes.pair_moves(start.unionByName(end))
+
+
+@query("hash_deferred", "SELECT l.id, sha256(content) AS object_id FROM locations l JOIN files f USING (volume_id, path) JOIN objects o ON o.object_id = l.object_id WHERE o.hash_state = 'deferred'")
+def _(c):
+    due = c.objects.where("hash_state = 'deferred'").select("object_id")
+    named = c.locations.select("id", "volume_id", "path", "object_id").join(due, "object_id", "left_semi")
+    return named.join(c.files.select("volume_id", "path", hashing.content_id(F.col("content")).alias("real")), ["volume_id", "path"]).select("id", F.col("real").alias("object_id"))
+
+
+@query("temporal_index", "SELECT id, CAST(year(modified_at) AS INTEGER) AS year, CAST(month(modified_at) AS INTEGER) AS month, CAST(day(modified_at) AS INTEGER) AS day FROM locations")
+def _(c):
+    return c.locations.select("id", F.year("modified_at").alias("year"), F.month("modified_at").alias("month"), F.day("modified_at").alias("day"))
+
+
+@query("metadata_pivot", "SELECT doc_id, max(CASE WHEN k = 'lang' THEN v END) AS lang, max(CASE WHEN k = 'source' THEN v END) AS source FROM (SELECT doc_id, 'lang' AS k, lang AS v FROM documents UNION ALL SELECT doc_id, 'source', source FROM documents) GROUP BY doc_id", catalog=False)
+def _(c):
+    eav = c.table("documents").select("doc_id", F.explode(F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"))).alias("k", "v"))
+    return eav.groupBy("doc_id").pivot("k", ["lang", "source"]).agg(F.first("v"))
+
+
+@query("sync_missing", "SELECT event_id, user_id FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE user_id % 3 = 0)", catalog=False)
+def _(c):
+    e = c.table("events").select("event_id", "user_id")
+    return e.join(e.where("user_id % 3 = 0").select("event_id"), "event_id", "left_anti")
+
+
+@query("delete_to_trash_effect", "SELECT object_id FROM objects WHERE object_id NOT IN (SELECT object_id FROM locations WHERE path LIKE '/chat/%' AND NOT is_directory) OR object_id IN (SELECT object_id FROM locations WHERE NOT (path LIKE '/chat/%' AND NOT is_directory))")
+def _(c):
+    gone = c.locations.where("path LIKE '/chat/%' AND NOT is_directory").select("volume_id", "path")
+    stay, ids = merge.delete_locations(c.locations.select("id", "volume_id", "path", "parent_id", "object_id"), gone, ["volume_id", "path"])
+    return merge.delete_orphan_objects(c.objects.select(F.col("object_id").alias("id")), stay, ids).select(F.col("id").alias("object_id"))

@@ -72,3 +72,18 @@ def run_stream(events: DataFrame, sink: Callable[[DataFrame, int], None], checkp
     """
     writer = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: sink(coalesce_changes(df), n))
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="300 milliseconds")).start()
+
+
+def pair_moves(events: DataFrame, within_ms: int = 500) -> DataFrame:
+    """Halves of moves (cookie, kind from or to, at in ms, path) to Moved, or, if the other half doesn't come in time,
+    Deleted (from) and Created (to): cookie, kind, path, new_path."""
+    start = events.where("kind = 'from'").select("cookie", F.col("at").alias("a"), "path")
+    end = events.where("kind = 'to'").select("cookie", F.col("at").alias("b"), F.col("path").alias("new_path"))
+    late = F.col("b").isNull() | F.col("a").isNull() | ~F.col("b").between(F.col("a"), F.col("a") + within_ms)
+    both = start.join(end, "cookie", "full").withColumn("late", late)
+    halves = F.array(
+        F.when(~F.col("late"), F.struct(F.lit("Moved").alias("kind"), F.col("path"), F.col("new_path"))),
+        F.when(F.col("late") & F.col("a").isNotNull(), F.struct(F.lit("Deleted").alias("kind"), F.col("path"), F.lit(None).cast("string").alias("new_path"))),
+        F.when(F.col("late") & F.col("b").isNotNull(), F.struct(F.lit("Created").alias("kind"), F.lit(None).cast("string").alias("path"), F.col("new_path"))),
+    )
+    return both.select("cookie", F.explode(F.filter(halves, lambda x: x.isNotNull())).alias("x")).select("cookie", "x.*")
