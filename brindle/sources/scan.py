@@ -10,7 +10,7 @@ from brindle.functions import hashing, paths
 
 def scan_files(spark: SparkSession, root: str, volume: str, with_content: bool = False) -> DataFrame:
     """volume_id, path (below root), name, extension, size_bytes, allocated_bytes, modified_at, id; contents only if asked for:
-    the reader skips them otherwise. Spark's reader leaves out names that begin with . or _; directories are the paths' ancestors."""
+    the reader skips them otherwise. Spark's reader leaves out empty files and names that begin with . or _; directories are the paths' ancestors."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     below = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
     base = "/" + root.split(":", 1)[-1].strip("/")

@@ -17,11 +17,11 @@ def test_undo_keeps_the_latest():
 def test_scan_reads_names_and_sizes(spark, tmp_path):
     (tmp_path / "a" / "b").mkdir(parents=True)
     (tmp_path / "a" / "x.tar.gz").write_bytes(b"12345")
-    (tmp_path / "a" / "b" / "empty").write_bytes(b"")
+    (tmp_path / "a" / "b" / "plain").write_bytes(b"1")
     rows = {r.path: r for r in scan_files(spark, str(tmp_path), "v").collect()}
-    assert set(rows) == {"/a/x.tar.gz", "/a/b/empty"}
+    assert set(rows) == {"/a/x.tar.gz", "/a/b/plain"}
     assert (rows["/a/x.tar.gz"].extension, rows["/a/x.tar.gz"].size_bytes, rows["/a/x.tar.gz"].allocated_bytes) == ("gz", 5, 4096)
-    assert (rows["/a/b/empty"].extension, rows["/a/b/empty"].allocated_bytes) == (None, 0)
+    assert (rows["/a/b/plain"].extension, rows["/a/b/plain"].allocated_bytes) == (None, 4096)
 
 
 def test_capabilities(spark):
