@@ -142,26 +142,25 @@ def signatures(bands: int, rows: int):
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts to the names of their words and their units: an element of count c is c units, so that sets of units have
-    the Jaccard similarity of the weighted sets."""
+    """(node, text) to nodes and their units: an element of count c is c units, so that sets of units have the Jaccard
+    similarity of the weighted sets."""
     hasher = WordHasher()
     for batch in batches:
-        names, units = [], []
-        for t in batch.column(0).to_pylist():
-            name, e, c = weighted(t, hasher)
+        units = []
+        for t in batch.column(1).to_pylist():
+            _, e, c = weighted(t, hasher)
             u = np.repeat(e, c)
             which = np.arange(len(u)) - np.repeat(np.cumsum(c) - c, c)
-            names.append(name)
             units.append(mix(u + mix(which.astype(np.uint64), 9)).view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(units, pa.list_(pa.int64()))], names=["name", "units"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(units, pa.list_(pa.int64()))], names=["node", "units"])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Of the pairs (a, b) of names those whose texts are similar. docs: name, text of each name once."""
-    wanted = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
-    sets = docs.join(wanted, "name", "left_semi").select("text").mapInArrow(_elements, "name binary, units array<long>")
-    left = sets.select(F.col("name").alias("a"), F.col("units").alias("x"))
-    right = sets.select(F.col("name").alias("b"), F.col("units").alias("y"))
+def _verified(pairs: DataFrame, sources: DataFrame, threshold: float) -> DataFrame:
+    """Of the pairs (a, b) of nodes those whose texts are similar. sources: node and text, each node once."""
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = sources.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(_elements, "node long, units array<long>")
+    left = sets.select(F.col("node").alias("a"), F.col("units").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("units").alias("y"))
     # sizes too far apart can't be similar: the longer lists need not be compared then
     sized = pairs.join(left, "a").join(right, "b").where(F.least(F.size("x"), F.size("y")) >= threshold * F.greatest(F.size("x"), F.size("y")))
     both = F.size(F.array_intersect("x", "y"))
@@ -179,57 +178,57 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int =
     spark = docs.sparkSession
     folder = shared_folder(spark, "near")
     base = id_and_text(docs)
-    signed = written(base.mapInArrow(signatures(bands, rows), "doc_id long, name binary, bands array<long>"), "signed", f"{folder}/signed")
+    signed = base.mapInArrow(signatures(bands, rows), "doc_id long, name binary, bands array<long>").withColumn("row", F.monotonically_increasing_id())
+    signed = written(signed, "signed", f"{folder}/signed")
     # one row a distinct text
-    texts = signed.where("name IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    buckets = texts.select("name", F.posexplode("bands").alias("band", "h"))
-    shared = buckets.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("hub")).where("n > 1")
-    members = written(buckets.join(shared, ["band", "h"]).select("band", "h", "name", "hub"), "members", f"{folder}/members")
-    # the text of a name is read again from a document that has it
-    needed = members.select("name").distinct()
-    holders = signed.where("name IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("doc_id")).join(needed, "name", "left_semi")
-    sources = base.join(holders, "doc_id").where("name IS NOT NULL")
-    sources = sources.mapInArrow(_named, "name binary, text string").dropDuplicates(["name"])
+    # one row a distinct text; its node is a row number, so that all that follows handles plain numbers
+    texts = signed.where("name IS NOT NULL").groupBy("name").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
+    texts = written(texts, "texts", f"{folder}/texts")
+    buckets = texts.select("node", F.posexplode("bands").alias("band", "h"))
+    shared = buckets.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1").drop("n")
+    members = written(buckets.join(shared, ["band", "h"]).select("band", "h", "node", "hub"), "members", f"{folder}/members")
+    # the text of a node is read again from a document that has it
+    holders = texts.select("node", "name", "doc_id").join(members.select("node").distinct(), "node", "left_semi")
+    sources = base.join(holders, "doc_id").mapInArrow(_named, "node long, text string").dropDuplicates(["node"])
     sources = written(sources, "sources", f"{folder}/sources")
 
     tested = links = labels = None
     for n in range(hubs):
         if labels is None:
-            pairs = members.where("name <> hub").select(F.col("name").alias("a"), F.col("hub").alias("b")).distinct()
+            pairs = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
         else:
             # of each bucket and component one member, other ones each round, against that of one component
-            own = members.join(labels.withColumnRenamed("node", "name"), "name", "left").withColumn("c", F.coalesce("component", "name"))
-            order = F.struct(F.xxhash64("name", F.lit(n)).alias("o"), F.col("name").alias("name"))
-            by = own.groupBy("band", "h", "c").agg(F.min(order).alias("m"))
-            hub = by.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("hub")).where("n > 1")
-            pairs = by.join(hub, ["band", "h"]).where("m <> hub").select(F.greatest("m.name", "hub.name").alias("a"), F.least("m.name", "hub.name").alias("b")).distinct()
+            own = members.join(labels, "node", "left").withColumn("c", F.coalesce("component", "node"))
+            by = own.groupBy("band", "h", "c").agg(F.min_by("node", F.xxhash64("node", F.lit(n))).alias("m"))
+            hub = by.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n"), F.min_by("m", F.xxhash64("m", F.lit(n))).alias("hub")).where("n > 1")
+            pairs = by.join(hub, ["band", "h"]).where("m <> hub").select(F.greatest("m", "hub").alias("a"), F.least("m", "hub").alias("b")).distinct()
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs", f"{folder}/pairs-{n}")
         if pairs.isEmpty():
             break
         found = written(_verified(pairs, sources, threshold), "found", f"{folder}/found-{n}")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        if labels is None or not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            labels = components(links)
     if labels is None:
-        labels = signed.select(F.col("name").alias("node"), F.col("name").alias("component")).limit(0)
-    classes = texts.select("name", "doc_id").join(labels.withColumnRenamed("node", "name"), "name", "left").withColumn("c", F.coalesce("component", "name"))
+        labels = texts.select("node", F.col("node").alias("component")).limit(0)
+    classes = texts.select("name", "node", "doc_id", "n").join(labels, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    heads = classes.groupBy("c").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"))
+    of_name = classes.select("name", "c").join(heads, "c").select("name", "class_id", "class_size")
     named = signed.where("name IS NOT NULL").select("doc_id", "name")
-    sizes = named.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    heads = classes.join(sizes, "name").groupBy("c").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"))
-    of_name = written(classes.select("name", "c").join(heads, "c").select("name", "class_id", "class_size"), "classes", f"{folder}/classes")
     rows_ = named.join(of_name, "name").select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
     alone = signed.where("name IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
     return rows_.unionByName(alone)
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of doc_id, text, name whose text has that name (a doc_id may have several texts)."""
+    """Of rows with doc_id, text, node, name those whose text has that name (a doc_id may have several texts)."""
     import xxhash
 
     for batch in batches:
         c = dict(zip(batch.schema.names, batch.columns, strict=True))
-        texts, names = c["text"].to_pylist(), c["name"].to_pylist()
+        texts, names, nodes = c["text"].to_pylist(), c["name"].to_pylist(), c["node"].to_pylist()
         own = [xxhash.xxh3_128_digest(b" ".join(t.encode("utf-8", "surrogatepass").split())) for t in texts]
         good = [i for i, n in enumerate(own) if n == names[i]]
-        yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in good], pa.binary()), pa.array([texts[i] for i in good], pa.string())], names=["name", "text"])
+        yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in good], pa.int64()), pa.array([texts[i] for i in good], pa.string())], names=["node", "text"])
