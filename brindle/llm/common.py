@@ -35,24 +35,21 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 class WordHasher:
-    """64-bit hashes of words; remembers those it has seen, up to a bounded number."""
-
-    def __init__(self, most: int = 300_000) -> None:
-        self.seen: dict[bytes, int] = {}
-        self.most = most
+    """64-bit hashes of words. Most words of a large corpus are rare: hashing each costs less than remembering them."""
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         import xxhash
 
-        seen = self.seen
-        new = set(words).difference(seen)
-        if new:
-            if len(seen) + len(new) > self.most:
-                seen.clear()
-                new = set(words)
-            digest = xxhash.xxh3_64_intdigest
-            seen.update((w, digest(w)) for w in new)
-        return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def shingle_rows(rows: np.ndarray) -> np.ndarray:
+    """The hash of each row of word hashes: what shingles() gives for these words."""
+    with np.errstate(over="ignore"):
+        h = np.full(len(rows), rows.shape[1], np.uint64)
+        for i in range(rows.shape[1]):
+            h = h * np.uint64(0x9FB21C651E98DF25) + rows[:, i]
+    return mix(h)
 
 
 def shingles(hashed: np.ndarray, k: int = 5) -> np.ndarray:
@@ -60,8 +57,9 @@ def shingles(hashed: np.ndarray, k: int = 5) -> np.ndarray:
     if not len(hashed):
         return hashed
     k = min(k, len(hashed))
+    n = len(hashed) - k + 1
     with np.errstate(over="ignore"):
-        h = np.full(len(hashed) - k + 1, k, np.uint64)
+        h = np.full(n, k, np.uint64)
         for i in range(k):
-            h = h * np.uint64(0x9FB21C651E98DF25) + hashed[i : len(hashed) - k + 1 + i]
+            h = h * np.uint64(0x9FB21C651E98DF25) + hashed[i : n + i]
     return mix(h)

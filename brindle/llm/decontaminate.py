@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, id_and_text, mix, pick, shingles
+from .common import WordHasher, id_and_text, mix, pick, shingle_rows, shingles
 
 SIMILARITY = 0.8
 #: Texts of similarity 0.8 have fingerprints about 10 of 64 bits apart; blocks of 4 bits.
@@ -60,6 +61,10 @@ class Items:
             prints[len(words)].append((len(self.bags), int(fingerprint(signs(s).sum(0, keepdims=True))[0])))
             self.bags.append((item, Counter(s.tolist())))
         self.shingles = np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64)
+        #: The items' words, numbered from 1: five of them in a row must stand where a shingle of an item is to be.
+        names = sorted({w for _, text in items for w in lowered(text)})
+        self.number = {w: i for i, w in enumerate(names, 1)}
+        self.hashes = np.concatenate([np.zeros(1, np.uint64), self.hasher(names)])
         for length, rows in prints.items():
             tables: list[dict[int, list[int]]] = [defaultdict(list) for _ in range(-(-64 // self.width))]
             for at, (_, p) in enumerate(rows):
@@ -82,18 +87,33 @@ class Items:
         for x, y in zip(w[close].tolist(), i[close].tolist(), strict=True):
             yield x, names[y]
 
+    def hits(self, words: list[bytes]) -> np.ndarray:
+        """Where shingles of items stand: no other place can be in a similar window."""
+        if len(words) < WORDS:
+            return np.zeros(0, np.int64)
+        numbers = np.fromiter(map(self.number.get, words, repeat(0)), np.int32, len(words))
+        unknown = np.concatenate([[0], np.cumsum(numbers == 0)])
+        may = np.flatnonzero(unknown[WORDS:] == unknown[:-WORDS])
+        if not len(may):
+            return may
+        near = np.unique(may[:, None] + np.arange(WORDS))
+        line = np.zeros(len(words), np.uint64)
+        line[near] = self.hashes[numbers[near]]
+        rows = line[may[:, None] + np.arange(WORDS)]
+        s = shingle_rows(rows)
+        at = np.minimum(np.searchsorted(self.shingles, s), len(self.shingles) - 1)
+        return may[self.shingles[at] == s]
+
     def search(self, text: str, threshold: float) -> dict[int, float]:
         """Items in the text and their best similarities."""
         if not len(self.shingles):
             return {}
-        hashed = self.hasher(lowered(text))
-        s = shingles(hashed, WORDS) if len(hashed) >= WORDS else hashed[:0]
-        at = np.searchsorted(self.shingles, s)
-        at[at == len(self.shingles)] = 0
-        hits = np.flatnonzero(self.shingles[at] == s)
+        words = lowered(text)
+        hits = self.hits(words)
         found: dict[int, float] = {}
         if not len(hits):
             return found
+        s = shingles(self.hasher(words), WORDS)
         for length in self.by_length:
             n = length - WORDS + 1  # shingles of a window
             last = max(0, len(s) - n)
