@@ -25,6 +25,9 @@ from .tokens import encoder, vocabulary
 #: Least, usual and most ids of a chunk, and the ids that the rolling hash sees.
 LEAST, USUAL, MOST, WINDOW = 128, 512, 4096, 16
 
+#: Recipes of one file, at most about so many: what a task that orders or places them handles.
+FILE = 200_000
+
 STAGED = "kind string, name string, doc_id long, n_tokens long, chunks array<string>, sizes array<int>, root string, ids binary"
 
 
@@ -127,7 +130,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.jso
     # the staged chunks are the stored chunks; the recipes get their order and places
     recipes = _part(spark, folder, "recipe").select("doc_id", "n_tokens", "chunks", "sizes", "root", "name")
     order = [F.asc_nulls_first("doc_id"), F.col("root"), F.col("name")]
-    n = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-recipes.count() // FILE))
     recipes.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("file", F.spark_partition_id()).write.option("compression", "zstd").parquet(f"{folder}/ordered")
     ordered = spark.read.parquet(f"{folder}/ordered")
     # one row a file: its tokens and its root; a running sum of these gives each file's place
