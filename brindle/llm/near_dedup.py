@@ -5,6 +5,7 @@ into the plane (weight x rank) of each element, independent of the document; a d
 weights and hashes each to one of K coordinates, keeping the earliest rank of each. Two documents agree in a
 coordinate with the probability of their weighted Jaccard similarity. Equal texts are collapsed first. In each bucket
 of equal bands, members are compared with one hub, exactly; what the hub doesn't take gets other hubs in later rounds.
+After these, every pair of a bucket whose members are still of different components is compared, in blocks.
 """
 
 from __future__ import annotations
@@ -24,8 +25,11 @@ SIMILARITY = 0.8
 #: 28 bands of 5 coordinates miss a pair of similarity 0.8 with probability 0.00002.
 BANDS, ROWS = 28, 5
 K = BANDS * ROWS
-#: Rounds of hubs: later ones see only buckets that still have members of different components.
+#: Rounds of hubs: later ones see only buckets that still have members of different components. They only save work:
+#: whatever pairs of different components they leave are all compared afterwards.
 HUBS = 6
+#: Of what is left, buckets of so many members list their pairs; larger ones are compared in blocks of BLOCK members.
+FEW, BLOCK = 16, 256
 _FINEST = 16  # ranks from 2**-16 on are cut into cells that double, up to 1; then into cells of 1
 
 
@@ -167,7 +171,67 @@ def _verified(pairs: DataFrame, sources: DataFrame, threshold: float) -> DataFra
     return sized.where(both >= threshold * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, hubs: int = HUBS) -> DataFrame:
+def _compare(threshold: float):
+    """Of two blocks (or one, with itself) links between similar nodes, as many as join what is similar."""
+
+    def run(group: pa.Table) -> pa.Table:
+        side, nodes = group["side"].to_numpy(), group["node"].to_numpy()
+        units = group["units"].combine_chunks()
+        flat, sizes = units.flatten().to_numpy(), np.diff(units.offsets.to_numpy())
+        names, flat = np.unique(flat, return_inverse=True)
+        starts = np.cumsum(sizes) - sizes
+        # components as small numbers; those that a link joins get one number
+        own = np.unique(group["c"].to_numpy(), return_inverse=True)[1]
+        two, marked, links = side.max() > 0, np.zeros(len(names), np.int64), []
+        for x in np.flatnonzero(side == 0):
+            other = own != own[x]
+            other &= side > 0 if two else np.arange(len(side)) > x
+            other &= np.minimum(sizes, sizes[x]) >= threshold * np.maximum(sizes, sizes[x])
+            if not other.any():
+                continue
+            mine = flat[starts[x] : starts[x] + sizes[x]]
+            marked[mine] = 1
+            both = np.add.reduceat(marked[flat], starts)
+            marked[mine] = 0
+            for y in np.flatnonzero(other & (both >= threshold * (sizes + sizes[x] - both))):
+                if own[x] != own[y]:
+                    links.append((max(nodes[x], nodes[y]), min(nodes[x], nodes[y])))
+                    own[own == own[y]] = own[x]
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return run
+
+
+def _left_over(members: DataFrame, labels: DataFrame, tested: DataFrame, sources: DataFrame, threshold: float, folder: str, few: int, block: int) -> DataFrame:
+    """Links among all pairs of different components that share a bucket and weren't tested."""
+    key = ["band", "h"]
+    own = members.select(*key, "node").join(labels, "node", "left").select(*key, "node", F.coalesce("component", "node").alias("c"))
+    per = own.groupBy(*key, "c").agg(F.count(F.lit(1)).alias("of_c"))
+    mixed = per.groupBy(key).agg(F.sum("of_c").alias("n"), F.count(F.lit(1)).alias("cs"), F.sum(F.when(F.col("of_c") <= block, F.col("of_c"))).alias("of_small"))
+    own = own.join(mixed.where("cs > 1 AND n > 2").drop("cs"), key)  # of two members the pair was tested in round 0
+    own = written(own, "mixed", f"{folder}/mixed")
+    small = own.where(F.col("n") <= few).select(*key, "node", "c")
+    y = small.select(*key, F.col("node").alias("b"), F.col("c").alias("d"))
+    pairs = small.withColumnRenamed("node", "a").join(y, key).where("c <> d AND a > b").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+    found = _verified(written(pairs, "pairs", f"{folder}/pairs-rest"), sources, threshold)
+    large = own.where(F.col("n") > few)
+    if large.isEmpty():
+        return found
+    # a component of many members has blocks of its own, which aren't compared with each other; small ones share blocks
+    by = large.join(per, [*key, "c"]).withColumn("alone", F.when(F.col("of_c") > block, F.col("c")).otherwise(F.lit(-1)))
+    salt = F.when(F.col("of_c") > block, F.pmod(F.xxhash64("node"), F.ceil(F.col("of_c") / block))).otherwise(F.pmod(F.xxhash64("c"), F.ceil(F.col("of_small") / block)))
+    by = written(by.select(*key, "node", "c", "alone", salt.alias("part")), "blocks", f"{folder}/blocks")
+    one = by.select(*key, F.struct("alone", "part").alias("x")).distinct()
+    two = one.join(one.withColumnRenamed("x", "y"), key).where("x = y AND x.alone < 0 OR x < y AND (x.alone < 0 OR x.alone <> y.alone)")
+    sets = sources.join(by.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_elements, "node long, units array<long>")
+    named = by.select(*key, F.struct("alone", "part").alias("of"), "node", "c")
+    left = two.withColumn("of", F.col("x")).join(named, [*key, "of"]).withColumn("side", F.lit(0))
+    right = two.where("x < y").withColumn("of", F.col("y")).join(named, [*key, "of"]).withColumn("side", F.lit(1))
+    rows = left.unionByName(right).join(sets, "node").select(*key, "x", "y", "side", "node", "c", "units")
+    return found.unionByName(rows.groupBy(*key, "x", "y").applyInArrow(_compare(threshold), "a long, b long")).distinct()
+
+
+def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, hubs: int = HUBS, few: int = FEW, block: int = BLOCK) -> DataFrame:
     """One row a document: doc_id, class_id (the least doc_id of its class), class_size (documents), kept.
 
     A class: documents linked by equal words or a weighted Jaccard similarity of threshold or more, directly or
@@ -211,6 +275,10 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int =
         if labels is None or not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             labels = components(links)
+    if labels is not None:
+        rest = written(_left_over(members, labels, tested, sources, threshold, folder, few, block), "found", f"{folder}/found-rest")
+        if not rest.isEmpty():
+            labels = components(links.unionByName(rest))
     if labels is None:
         labels = texts.select("node", F.col("node").alias("component")).limit(0)
     classes = texts.select("name", "node", "doc_id", "n").join(labels, "node", "left").withColumn("c", F.coalesce("component", "node"))

@@ -53,3 +53,25 @@ def test_edges(odd_docs, no_docs):
     assert by[5].class_id == 4 and by[5].class_size == 3 and not by[5].kept and by[4].kept
     assert all(by[d].class_id == d and by[d].class_size == 1 and by[d].kept for d in (None, 1, 2, 3, 6, 7, 8))
     assert near_duplicates(no_docs).collect() == []
+
+
+def star(n):
+    """An original and n copies with other edits: each is similar to the original, hardly any two to each other."""
+    rng = np.random.default_rng(8)
+    words = [f"w{x}" for x in rng.integers(0, 10**9, 400)]
+    rows = []
+    for i in range(n):
+        own = list(words)
+        for p in 5 + 10 * rng.choice(39, 6, replace=False):
+            own[p] = f"e{i}x{p}"
+        rows.append((i, " ".join(own)))
+    return [*rows, (n, " ".join(words))]
+
+
+def test_no_bucket_loses_a_link(spark):
+    rows = star(120)
+    assert set(brute(rows)) == {0}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for options in ({}, {"few": 2, "block": 7}):  # pairs listed, and blocks
+        got = near_duplicates(docs, hubs=1, **options).collect()
+        assert {r.class_id for r in got} == {0} and len(got) == 121
