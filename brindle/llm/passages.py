@@ -1,10 +1,11 @@
 """Repeated passages: MinHash bands over content-anchored paragraphs, exact checks, components of removals.
 
 A shared passage can stand anywhere in a line, so paragraphs are runs of WORDS words that begin where the hash of two
-words says so: the same passage has the same paragraphs wherever it stands. Bands of MinHashes over five-word shingles
+words is the least of some WINDOW in a row: the same passage has the same paragraphs wherever it stands. Bands of MinHashes over five-word shingles
 make colliding paragraphs meet in one sorted stream, where each is linked to the first of its bucket and to the first
 equal one; a bucket of any size passes through, no pairs are listed. Links between different paragraphs are verified
-by exact Jaccard similarity and joined to classes. Of a class that several documents hold, the first stays.
+by exact Jaccard similarity and joined to classes. Of a class that several documents hold, the first stays; what goes of
+the others is extended word by word, as long as they agree with the first.
 """
 
 from __future__ import annotations
@@ -22,8 +23,11 @@ from .common import WordHasher, id_and_text, mix, shared_folder, shingles, writt
 
 SIMILARITY = 0.8
 WORDS, SHINGLE = 25, 5
-#: One anchor in so many words: a passage of 50 words lacks one with probability 0.06, one of 75 with 0.005.
-SPACING = 10
+#: Each run of so many places has an anchor: passages of WINDOW + WORDS - 1 = 50 words have one, and less than WINDOW
+#: words of a passage lie before its first paragraph or behind its last.
+WINDOW = 26
+#: Similar paragraphs may begin so many words apart; two words inside must agree before words outside are compared.
+SHIFT, INSIDE = 2, 2
 #: Three bands of two: a similarity of 0.8 collides with probability 0.95, equal paragraphs always.
 BANDS, ROWS = 3, 2
 LINK = "name long, row long, pos int, hub long, hub_row long, hub_pos int"
@@ -36,7 +40,9 @@ def anchored(hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     s = shingles(hashed, SHINGLE)
     with np.errstate(over="ignore"):
         pair = mix(hashed[:-1] * np.uint64(3) + hashed[1:], 31)
-    at = np.flatnonzero(pair[: len(hashed) - WORDS + 1] % np.uint64(SPACING) == 0)
+    places = pair[: len(hashed) - WORDS + 1]
+    runs = np.lib.stride_tricks.sliding_window_view(places, min(WINDOW, len(places)))
+    at = np.unique(np.arange(len(runs)) + runs.shape[1] - 1 - runs[:, ::-1].argmin(1))  # of equal ones the last
     return s, at
 
 
@@ -129,6 +135,51 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["name", "units"])
 
 
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, text, places array<int>) to the hashes of the words before each paragraph, nearest first, and after it.
+
+    Both begin SHIFT + INSIDE words inside the paragraph."""
+    hasher = WordHasher()
+    for batch in batches:
+        rows, at, before, after = [], [], [], []
+        for row, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            hashed = hasher(text.encode("utf-8", "surrogatepass").split()).view(np.int64)
+            for p in places:
+                rows.append(row)
+                at.append(p)
+                before.append(hashed[max(0, p - WINDOW - SHIFT) : p + SHIFT + INSIDE][::-1])
+                after.append(hashed[p + WORDS - SHIFT - INSIDE : p + WORDS + WINDOW + SHIFT])
+        lists = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(at, pa.int32()), pa.array(before, lists), pa.array(after, lists)], names=["row", "pos", "before", "after"])
+
+
+def _extended(ranges: DataFrame, base: DataFrame, folder: str) -> DataFrame:
+    """row, s, e, and the places of the first ones of the outer paragraphs (lrow, lpos, rrow, rpos) to row, s, e, extended."""
+    ends = {"l": F.col("s"), "r": F.col("e") - WORDS}
+    wanted = None
+    for k, pos in ends.items():
+        both = F.array(F.struct("row", pos.alias("pos")), F.struct(F.col(f"{k}row").alias("row"), F.col(f"{k}pos").alias("pos")))
+        part = ranges.where(F.col(f"{k}row") != F.col("row")).select(F.inline(both))
+        wanted = part if wanted is None else wanted.unionByName(part)
+    by_row = wanted.distinct().groupBy("row").agg(F.collect_list("pos").alias("places"))
+    around = base.select("row", "text").join(by_row, "row").select("row", "text", "places").mapInArrow(_around, "row long, pos int, before array<long>, after array<long>")
+    around = written(around, "around", f"{folder}/around")
+    out = ranges
+    for k, words in (("l", "before"), ("r", "after")):
+        own = around.select("row", F.col("pos").alias(f"{k}at"), F.col(words).alias("x"))
+        first = around.select(F.col("row").alias(f"{k}row"), F.col("pos").alias(f"{k}pos"), F.col(words).alias("y"))
+        out = out.withColumn(f"{k}at", ends[k]).join(own, ["row", f"{k}at"], "left").join(first, [f"{k}row", f"{k}pos"], "left")
+        lengths = []
+        for shift in range(2 * SHIFT + 1):
+            x, y = (F.slice(c, at + 1, WINDOW + INSIDE) for c, at in (("x", SHIFT), ("y", shift)))
+            differs = F.array_position(F.zip_with(x, y, lambda a, b: a.eqNullSafe(b)), False)
+            lengths.append(F.when(differs > 0, differs - 1).otherwise(F.size(x)).cast("int"))
+        same = F.greatest(F.lit(0), F.greatest(*lengths) - INSIDE)
+        # within one row a copy might grow into the first one
+        out = out.withColumn(f"{k}more", F.when((F.col(f"{k}row") != F.col("row")) & F.col("x").isNotNull() & F.col("y").isNotNull(), same).otherwise(0)).drop("x", "y")
+    return out.select("row", (F.col("s") - F.col("lmore")).alias("s"), (F.col("e") + F.col("rmore")).alias("e"))
+
+
 def repeated_passages(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """One row a document: doc_id, n_repeated, n_removed, removed_words, removed.
 
@@ -160,23 +211,34 @@ def repeated_passages(docs: DataFrame, threshold: float = SIMILARITY) -> DataFra
         .where(both >= threshold * (F.size("x") + F.size("y") - both))
     )
     classes = components(similar.select("a", "b")).select(F.col("node").alias("name"), "component")
-    own = places.join(classes, "name", "left").select("row", "pos", F.coalesce("component", "name").alias("c"))
+    own = places.join(classes, "name", "left").select("name", "row", "pos", F.coalesce("component", "name").alias("c"))
     heads = own.groupBy("c").agg(F.min(F.struct("row", "pos")).alias("first"), F.max("row").alias("last_row")).where("first.row < last_row")
-    marked = own.join(heads, "c").select("row", "pos", ((F.col("first.row") == F.col("row")) & (F.col("first.pos") == F.col("pos"))).alias("is_first"))
+    # what a paragraph is extended against: the first equal one, as the first of its class may begin a word or two elsewhere
+    twins = own.groupBy("name").agg(F.min(F.struct("row", "pos")).alias("twin"))
+    against = F.when(F.col("twin.row") != F.col("row"), F.col("twin")).otherwise(F.col("first")).alias("against")
+    marked = own.join(heads, "c").join(twins, "name").select("row", "pos", against, ((F.col("first.row") == F.col("row")) & (F.col("first.pos") == F.col("pos"))).alias("is_first"))
     # a document that begins a class keeps all of its own occurrences' first; the other ones go
-    gone = F.sort_array(F.collect_set(F.when(~F.col("is_first"), F.col("pos"))))
+    place = F.struct("pos", F.col("against.row").alias("frow"), F.col("against.pos").alias("fpos"))
+    gone = F.sort_array(F.collect_set(F.when(~F.col("is_first"), place)))
     per = marked.groupBy("row").agg(F.count_distinct("pos").alias("n_repeated"), gone.alias("gone"))
-    start = F.array().cast("array<struct<s:int,e:int>>")
 
-    def grow(acc, p):
+    def grow(acc, s, e, left, right):
         last = F.try_element_at(acc, F.lit(-1))
-        extended = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), (p + WORDS).alias("e"))))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["e"] >= p), extended).otherwise(F.array_append(acc, F.struct(p.alias("s"), (p + WORDS).alias("e"))))
-
-    per = per.withColumn("ranges", F.aggregate("gone", start, grow))
+        joined = F.struct(last["s"].alias("s"), F.greatest(last["e"], e).alias("e"), *[last[n].alias(n) for n in left], *[x.alias(n) for n, x in right.items()])
+        new = F.struct(s.alias("s"), e.alias("e"), *[x.alias(n) for n, x in left.items()], *[x.alias(n) for n, x in right.items()])
+        return F.when((F.size(acc) > 0) & (last["e"] >= s), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))).otherwise(F.array_append(acc, new))
+
+    start = F.array().cast("array<struct<s:int,e:int,lrow:bigint,lpos:int,rrow:bigint,rpos:int>>")
+    runs = F.aggregate("gone", start, lambda acc, p: grow(acc, p["pos"], p["pos"] + WORDS, {"lrow": p["frow"], "lpos": p["fpos"]}, {"rrow": p["frow"], "rpos": p["fpos"]}))
+    per = written(per.withColumn("runs", runs).select("row", "n_repeated", F.size("gone").cast("long").alias("n_removed"), "runs"), "runs", f"{folder}/runs")
+    longer = _extended(per.select("row", F.inline("runs")), base, folder)
+    start = F.array().cast("array<struct<s:int,e:int>>")
+    ranges = longer.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("r"))
+    ranges = ranges.select("row", F.aggregate("r", start, lambda acc, p: grow(acc, p["s"], p["e"], {}, {})).alias("ranges"))
+    per = per.drop("runs").join(ranges, "row", "left")
     zero = F.lit(0).cast("long")
     return base.select("row", "doc_id").join(per, "row", "left").select(
-        "doc_id", F.coalesce("n_repeated", zero).alias("n_repeated"), F.coalesce(F.size("gone").cast("long"), zero).alias("n_removed"),
+        "doc_id", F.coalesce("n_repeated", zero).alias("n_repeated"), F.coalesce("n_removed", zero).alias("n_removed"),
         F.coalesce(F.aggregate("ranges", zero, lambda a, r: a + r["e"] - r["s"]), zero).alias("removed_words"),
         F.coalesce(F.array_join(F.transform("ranges", lambda r: F.concat_ws(":", r["s"], r["e"])), ","), F.lit("")).alias("removed"),
     )

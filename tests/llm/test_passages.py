@@ -42,3 +42,25 @@ def test_edges(odd_docs, no_docs):
     three = by[4] + by[5]
     assert len({x.n_repeated for x in three}) == 1 and sorted(x.n_removed > 0 for x in three) in ([False] * 3, [False, True, True])
     assert repeated_passages(no_docs).collect() == []
+
+
+def test_passages_of_fifty_words_are_found_whole(spark):
+    r = random.Random(5)
+    rows, want = [], {}
+    for i in range(150):
+        passage = words(r, 50)
+        for d in (i, 1000 + i):
+            own = words(r, r.randint(60, 120))
+            at = r.randint(0, len(own))
+            own[at:at] = passage
+            rows.append((d, " ".join(own)))
+            want[d] = (at, at + 50)
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(1).sortWithinPartitions("doc_id")).collect()
+    for x in got:
+        a, b = want[x.doc_id]
+        spans = [tuple(map(int, s.split(":"))) for s in x.removed.split(",") if s]
+        assert x.n_repeated > 0
+        if x.doc_id < 1000:
+            assert spans == []
+        else:
+            assert len(spans) == 1 and a - 3 <= spans[0][0] <= a and b <= spans[0][1] <= b + 3
