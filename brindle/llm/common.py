@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +37,17 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
+def portions(batch: pa.RecordBatch, column: int, rows: int, size: int = 500_000) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """A batch in slices of so many rows and characters of the column, at most (a longer row alone), with its values."""
+    at = 0
+    while at < batch.num_rows:
+        values = batch.column(column).slice(at, rows).to_pylist()
+        ends = np.cumsum([len(x) for x in values])
+        n = max(1, int(np.searchsorted(ends, size, side="right")))
+        yield batch.slice(at, n), values[:n]
+        at += n
+
+
 class WordHasher:
     """64-bit hashes of words. Most words of a large corpus are rare: hashing each costs less than remembering them."""
 

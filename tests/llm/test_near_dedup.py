@@ -1,7 +1,8 @@
 from collections import Counter, defaultdict
 
 import numpy as np
-from brindle.llm.near_dedup import dart_signatures, near_duplicates
+from brindle.llm.near_dedup import dart_signatures, distinct_documents, near_duplicates
+from pyspark.sql import functions as F
 
 
 def brute(texts):
@@ -74,4 +75,31 @@ def test_no_bucket_loses_a_link(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for options in ({}, {"few": 2, "block": 7}):  # pairs listed, and blocks
         got = near_duplicates(docs, hubs=1, **options).collect()
-        assert {r.class_id for r in got} == {0} and len(got) == 121
+        assert {r.class_id for r in got} == {0} and len(got) == 121 and sum(r.kept for r in got) == 1
+
+
+def test_a_hub_unlike_the_rest_hides_no_pair(spark):
+    """One text takes half of each of two others' words: it may stand in their buckets, but is like neither."""
+    a = [f"a{x}" for x in range(300)]
+    b = list(a)
+    b[150] = "edited"
+    rows = [(i, " ".join([f"f{i}x{j}" for j in range(90)] + a[:210])) for i in range(40)] + [(100, " ".join(a)), (101, " ".join(b))]
+    want = brute(rows)
+    for options in ({}, {"hubs": 1, "few": 2, "block": 5}):
+        got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), bands=60, rows=1, **options).collect()}
+        assert got == {d: rows[c][0] for (d, _), c in zip(rows, want, strict=True)}
+
+
+def test_rows_without_an_id_and_repeated_rows(spark):
+    words = [f"w{i}" for i in range(200)]
+    near = [*words[:100], "other", *words[101:]]
+    c = " ".join(f"c{i}" for i in range(50))
+    rows = [(None, " ".join(words)), (None, " ".join(near)), (3, " ".join(near)), (7, c), (7, c), (None, "u v w x y z"), (None, "u v w x y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, near_duplicates(docs).collect()), key=str)
+    want = [(3, 3, 3, True), (7, 7, 2, False), (7, 7, 2, True), (None, 3, 3, False), (None, 3, 3, False), (None, None, 2, False), (None, None, 2, True)]
+    assert got == sorted(want, key=str)
+    kept = distinct_documents(docs.withColumn("row", F.lit(1)).withColumn("name", F.lit("n")))
+    assert kept.columns == ["doc_id", "text", "row", "name"] and sorted(map(str, kept.collect())) == sorted(
+        str(r) for r in docs.where("doc_id IS NOT NULL").distinct().unionByName(docs.where("text LIKE 'u%'").distinct()).withColumn("row", F.lit(1)).withColumn("name", F.lit("n")).collect()
+    )
