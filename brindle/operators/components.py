@@ -33,5 +33,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         if mark == before:
             break
         before = mark
+    else:
+        raise RuntimeError(f"components: not settled after {most_rounds} rounds")
     hubs = now.select("v").distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(hubs.select(F.col("v").alias("node"), F.col("v").alias("component")))

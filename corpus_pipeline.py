@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import shared_folder
 from brindle.llm.decontaminate import clean_documents
-from brindle.llm.near_dedup import near_duplicates
+from brindle.llm.near_dedup import distinct_documents
 from brindle.llm.packing import best_fit_pack
 from brindle.llm.pii import find_pii, redacted
 from brindle.llm.quality import good_documents
@@ -21,9 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document of the least doc_id stays."""
-    gone = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each class of near-duplicates one row stays, of the least doc_id."""
+    return distinct_documents(docs.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
