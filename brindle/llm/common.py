@@ -38,10 +38,10 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 def portions(batch: pa.RecordBatch, column: int, rows: int, size: int = 500_000) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """A batch in slices of so many rows and characters of the column, at most (a longer row alone), with its values."""
+    """A batch in slices of so many rows and characters of the column, at most (a longer row alone), with its values; null is empty."""
     at = 0
     while at < batch.num_rows:
-        values = batch.column(column).slice(at, rows).to_pylist()
+        values = [x or "" for x in batch.column(column).slice(at, rows).to_pylist()]
         ends = np.cumsum([len(x) for x in values])
         n = max(1, int(np.searchsorted(ends, size, side="right")))
         yield batch.slice(at, n), values[:n]

@@ -247,7 +247,7 @@ def _judged(docs: DataFrame, carry: list[str], threshold: float, bands: int, row
     spark = docs.sparkSession
     folder = shared_folder(spark, "near")
     base = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
         *[F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] * bool(carry),
     )
     schema = T.StructType([*base.schema.fields, T.StructField("name", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
@@ -264,7 +264,8 @@ def _judged(docs: DataFrame, carry: list[str], threshold: float, bands: int, row
     hub = met.join(popular, "node").groupBy("h").agg(F.max_by("node", F.struct("popular", -F.col("node"))).alias("hub"))
     members = written(met.join(hub, "h"), "members", f"{folder}/members")
     wanted = members.select("node").distinct()
-    units = signed.select(F.col("row").alias("node"), "text").join(wanted, "node", "left_semi").mapInArrow(_elements, "node long, units array<long>")
+    # never broadcast, at any size: the texts are dealt once, as on a large table
+    units = signed.select(F.col("row").alias("node"), "text").join(wanted.hint("merge"), "node", "left_semi").mapInArrow(_elements, "node long, units array<long>")
     units = written(units, "units", f"{folder}/units")
 
     classes = texts.select("name", "head", "n", F.col("node").alias("c"))
@@ -298,5 +299,6 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int =
 def distinct_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that near_duplicates() keeps, with all their columns."""
     defaults = {"threshold": SIMILARITY, "bands": BANDS, "rows": ROWS, "hubs": HUBS, "few": FEW, "block": BLOCK}
-    numbered, verdicts = _judged(docs, docs.columns, **defaults | options)
-    return numbered.join(verdicts.where("NOT kept").select("row"), "row", "left_anti").select("carried.*")
+    numbered, verdicts = _judged(docs, [c for c in docs.columns if c != "text"], **defaults | options)
+    kept = numbered.join(verdicts.where("NOT kept").select("row"), "row", "left_anti")
+    return kept.select(*["text" if c == "text" else F.col(f"carried.`{c}`") for c in docs.columns])

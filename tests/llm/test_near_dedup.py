@@ -79,7 +79,7 @@ def test_no_bucket_loses_a_link(spark):
 
 
 def test_a_hub_unlike_the_rest_hides_no_pair(spark):
-    """One text takes half of each of two others' words: it may stand in their buckets, but is like neither."""
+    """All texts but two share buckets with a hub that is hardly like them; the last two are alike."""
     a = [f"a{x}" for x in range(300)]
     b = list(a)
     b[150] = "edited"
