@@ -300,5 +300,5 @@ def distinct_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that near_duplicates() keeps, with all their columns."""
     defaults = {"threshold": SIMILARITY, "bands": BANDS, "rows": ROWS, "hubs": HUBS, "few": FEW, "block": BLOCK}
     numbered, verdicts = _judged(docs, [c for c in docs.columns if c != "text"], **defaults | options)
-    kept = numbered.join(verdicts.where("NOT kept").select("row"), "row", "left_anti")
+    kept = numbered.join(verdicts.where("NOT kept").select("row").hint("merge"), "row", "left_anti")
     return kept.select(*["text" if c == "text" else F.col(f"carried.`{c}`") for c in docs.columns])

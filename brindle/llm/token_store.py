@@ -2,8 +2,9 @@
 
 A rolling hash over the ids cuts each document's stream into chunks, so equal passages give equal chunks. A chunk is
 stored once, under the SHA-256 of its bytes. A document's recipe lists its chunks; recipes lie in ascending doc_id
-order, with the place of the document in the whole stream and the Merkle root of its chunks, and a manifest holds the
-Merkle root of each recipe file. Three Parquet tables make the format: chunks, recipes, manifest.
+order, in numbered files, with the place of the document in its file's stream and the Merkle root of its chunks. The
+manifest holds, for each recipe file, its place in the whole stream and the Merkle root of its recipes' roots. Reading
+verifies all three levels. Three Parquet tables make the format: chunks (in staged), recipes, manifest.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ LEAST, USUAL, MOST, WINDOW = 128, 512, 4096, 16
 #: Recipes of one file, at most about so many: what a task that orders or places them handles.
 FILE = 200_000
 
-STAGED = "kind string, name string, doc_id long, n_tokens long, chunks array<string>, sizes array<int>, root string, ids binary"
+STAGED = "kind string, name binary, doc_id long, n_tokens long, chunks array<binary>, sizes array<int>, root binary, ids binary"
+RECIPES = "file int, pos long, before long, doc_id long, n_tokens long, chunks array<binary>, sizes array<int>, root binary"
+MANIFEST = "file int, n_tokens long, n_docs long, root binary"
 
 
 def rolling_hits(ids: np.ndarray) -> np.ndarray:
@@ -57,12 +60,12 @@ def cuts(n: int, hits: list[int]) -> list[int]:
     return ends
 
 
-def merkle(names: list[str]) -> str:
+def merkle(names: list[bytes]) -> bytes:
     """The root of a binary tree of SHA-256 over the names; an odd one out moves up as it is."""
-    level = [bytes.fromhex(x) for x in names] or [b""]
+    level = names or [b""]
     while len(level) > 1:
         level = [hashlib.sha256(b"".join(level[i : i + 2])).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-    return level[0].hex()
+    return level[0]
 
 
 def packed(ids: np.ndarray) -> bytes:
@@ -96,7 +99,7 @@ def stage(path: str, end_id: int):
                         own = narrow[:1] + narrow[1 + width * (first + last) : 1 + width * (first + e)]
                         if width == 4:  # the width is each chunk's own, whatever stands beside it
                             own = packed(unpacked(own))
-                        name = hashlib.sha256(own).hexdigest()
+                        name = hashlib.sha256(own).digest()
                         if name not in sent:
                             sent.add(name)
                             rows.append(("chunk", name, None, None, None, None, None, own))
@@ -104,11 +107,11 @@ def stage(path: str, end_id: int):
                         sizes.append(e - last)
                         last = e
                     first += n
-                    rows.append(("recipe", f"{where}/{count}", doc, n, names, sizes, merkle(names), None))
+                    rows.append(("recipe", f"{where}/{count}".encode(), doc, n, names, sizes, merkle(names), None))
                     count += 1
                 if len(sent) > 200_000:
                     sent.clear()
-                kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.string(), pa.binary()]
+                kinds = [pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)],
                     names=["kind", "name", "doc_id", "n_tokens", "chunks", "sizes", "root", "ids"],
@@ -131,18 +134,46 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.jso
     recipes = _part(spark, folder, "recipe").select("doc_id", "n_tokens", "chunks", "sizes", "root", "name")
     order = [F.asc_nulls_first("doc_id"), F.col("root"), F.col("name")]
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-recipes.count() // FILE))
-    recipes.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("file", F.spark_partition_id()).write.option("compression", "zstd").parquet(f"{folder}/ordered")
-    ordered = spark.read.parquet(f"{folder}/ordered")
-    # one row a file: its tokens and its root; a running sum of these gives each file's place
-    files = ordered.groupBy("file").agg(F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_docs"), F.sort_array(F.collect_list(F.struct("doc_id", "root", "name"))).alias("d"))
-    files = files.select("file", "n_tokens", "n_docs", F.sha2(F.concat_ws(",", F.col("d.root")), 256).alias("root"))
-    places = files.withColumn("place", F.coalesce(F.sum("n_tokens").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    places.write.parquet(f"{folder}/manifest")
-    within = W.partitionBy("file").orderBy(*order)
-    placed = ordered.join(spark.read.parquet(f"{folder}/manifest").select("file", "place"), "file").withColumn(
-        "start", F.col("place") + F.coalesce(F.sum("n_tokens").over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    )
-    placed.select("file", "start", "doc_id", "n_tokens", "chunks", "sizes", "root").write.option("compression", "zstd").parquet(f"{folder}/recipes")
+    ordered = recipes.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_placed, RECIPES)
+    ordered.write.option("compression", "zstd").parquet(f"{folder}/recipes")
+    _sealed(_recipes(spark, folder)).write.parquet(f"{folder}/manifest")
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A sorted partition's recipes with its number as their file, and their places in it."""
+    file, pos, before = TaskContext.get().partitionId(), 0, 0
+    for batch in batches:
+        sizes = batch.column("n_tokens").to_numpy()
+        n = len(sizes)
+        places = before + np.cumsum(sizes) - sizes
+        numbers = [pa.array(np.full(n, file, np.int32)), pa.array(np.arange(pos, pos + n)), pa.array(places)]
+        yield pa.RecordBatch.from_arrays([*numbers, *batch.columns[:5]], names=["file", "pos", "before", *batch.schema.names[:5]])
+        pos, before = pos + n, before + int(sizes.sum())
+
+
+def _sealed(recipes: DataFrame) -> DataFrame:
+    """One row a recipe file, of about FILE rows at most: its numbers and its Merkle root."""
+
+    def seal(table: pa.Table) -> pa.Table:
+        rows = table.sort_by("pos")
+        root = merkle(rows["root"].to_pylist())
+        return pa.table({"file": rows["file"].slice(0, 1), "n_tokens": pa.array([sum(rows["n_tokens"].to_pylist())], pa.int64()), "n_docs": pa.array([rows.num_rows], pa.int64()), "root": pa.array([root], pa.binary())})
+
+    return recipes.select("file", "pos", "n_tokens", "root").groupBy("file").applyInArrow(seal, MANIFEST)
+
+
+def _recipes(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(RECIPES).parquet(f"{folder}/recipes")
+
+
+def places(spark: SparkSession, folder: str) -> DataFrame:
+    """file, place: where each recipe file begins in the whole stream. An error if its recipes aren't those of the manifest."""
+    manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+    running = F.coalesce(F.sum("n_tokens").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row a file
+    read = _sealed(_recipes(spark, folder)).select("file", *[F.col(c).alias(f"own_{c}") for c in ("n_tokens", "n_docs", "root")])
+    good = (F.col("root") == F.col("own_root")) & (F.col("n_tokens") == F.col("own_n_tokens")) & (F.col("n_docs") == F.col("own_n_docs"))
+    bad = F.raise_error(F.concat(F.lit("recipe file "), F.col("file"), F.lit(" isn't what the manifest says"))).cast("long")
+    return manifest.withColumn("place", running).join(read, "file", "full").select("file", F.when(good, F.col("place")).otherwise(bad).alias("place"))
 
 
 def _part(spark: SparkSession, folder: str, kind: str) -> DataFrame:
@@ -158,8 +189,8 @@ def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names, data = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for name, own in zip(names, data, strict=True):
-            if hashlib.sha256(own).hexdigest() != name:
-                raise ValueError(f"chunk {name} is damaged")
+            if hashlib.sha256(own).digest() != name:
+                raise ValueError(f"chunk {name.hex()} is damaged")
         ids = [unpacked(x) for x in data]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())], names=["name", "n", "crc"]
@@ -187,47 +218,59 @@ def crc_before(crc: np.ndarray, follow: np.ndarray) -> np.ndarray:
     return out
 
 
+def _chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Recipes to one row a chunk, with the ids that follow it; an error if a recipe's root isn't that of its chunks."""
+    for batch in batches:
+        roots, names, sizes = (batch.column(c).to_pylist() for c in ("root", "chunks", "sizes"))
+        for root, own in zip(roots, names, strict=True):
+            if merkle(own) != root:
+                raise ValueError(f"a recipe isn't that of root {root.hex()}")
+        n = np.array([len(x) for x in names], np.int64)
+        flat = np.concatenate([np.asarray(x, np.int64) for x in sizes]) if len(sizes) else np.zeros(0, np.int64)
+        ends, total = np.cumsum(flat), np.cumsum(n)
+        last = np.append(0, ends)[total]  # ids up to the end of each document
+        cols = [pa.array(np.repeat(batch.column(c).to_numpy(), n)) for c in ("file", "pos")]
+        cols += [pa.array([x for own in names for x in own], pa.binary()), pa.array(np.repeat(last, n) - ends), pa.array(flat)]
+        yield pa.RecordBatch.from_arrays(cols, names=["file", "pos", "name", "follow", "size"])
+
+
 def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         c = dict(zip(batch.schema.names, batch.columns, strict=True))
         share = crc_before(c["crc"].to_numpy(zero_copy_only=False), 4 * c["follow"].to_numpy(zero_copy_only=False))
-        yield pa.RecordBatch.from_arrays([c["row"], c["doc_id"], c["start"], c["n_tokens"], c["n"], pa.array(share.astype(np.int64))], names=["row", "doc_id", "start", "n_tokens", "n", "share"])
+        yield pa.RecordBatch.from_arrays([c["file"], c["pos"], c["n"], pa.array(share.astype(np.int64))], names=["file", "pos", "n", "share"])
 
 
 def digest(spark: SparkSession, folder: str) -> DataFrame:
     """From the files: doc_id, start, n_tokens, ids_crc32 of each document, in no order.
 
-    Every chunk is read and checked once. A document's CRC-32 is put together from those of its chunks, so that a
-    chunk that many documents share isn't copied to all of them.
+    Every chunk is read and checked against its name once, every recipe's root against its chunks, every file's root
+    against the manifest. A document's CRC-32 is put together from those of its chunks, so that a chunk that many
+    documents share isn't copied to all of them.
     """
-    chunks = read_chunks(spark, folder).mapInArrow(checked, "name string, n long, crc long")
-    recipes = spark.read.parquet(f"{folder}/recipes")
-    root = F.udf(merkle, "string")
-    recipes = recipes.select(
-        F.concat_ws("/", F.col("file"), F.col("start")).alias("row"), "doc_id", "start", "n_tokens",
-        F.transform("chunks", lambda x, i: F.struct(x.alias("name"), F.aggregate(F.slice("sizes", i + 2, F.size("sizes")), F.lit(0).cast("long"), lambda a, b: a + b).alias("follow"))).alias("c"),
-    )
-    parts = recipes.select("row", "doc_id", "start", "n_tokens", F.explode("c").alias("c")).select("row", "doc_id", "start", "n_tokens", "c.name", "c.follow")
-    found = parts.join(chunks, "name").select("row", "doc_id", "start", "n_tokens", "n", "crc", "follow")
-    found = found.mapInArrow(shares, "row string, doc_id long, start long, n_tokens long, n long, share long")
-    out = found.groupBy("row", "doc_id", "start", "n_tokens").agg(F.bit_xor("share").alias("ids_crc32"), F.sum("n").alias("n"))
+    chunks = read_chunks(spark, folder).mapInArrow(checked, "name binary, n long, crc long")
+    recipes = _recipes(spark, folder)
+    parts = recipes.select("file", "pos", "chunks", "sizes", "root").mapInArrow(_chunks_of, "file int, pos long, name binary, follow long, size long")
+    found = parts.join(chunks, "name").where("size = n").select("file", "pos", "n", "crc", "follow").mapInArrow(shares, "file int, pos long, n long, share long")
+    crcs = found.groupBy("file", "pos").agg(F.bit_xor("share").alias("ids_crc32"), F.sum("n").alias("n"))
     whole = F.when(F.col("n") == F.col("n_tokens"), F.col("n_tokens")).otherwise(F.raise_error(F.lit("a document lacks chunks")).cast("long"))
-    return out.select("doc_id", "start", whole.alias("n_tokens"), "ids_crc32")
+    out = recipes.select("file", "pos", "before", "doc_id", "n_tokens").join(crcs, ["file", "pos"], "left").join(places(spark, folder), "file")
+    return out.select("doc_id", (F.col("place") + F.col("before")).alias("start"), whole.alias("n_tokens"), "ids_crc32")
 
 
 def restore(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, ids (array<int>): the streams themselves, put together again; the Merkle root is checked."""
+    """doc_id, start, ids (array<int>): the streams themselves, put together again; the roots are checked."""
 
     def join(key, table):
-        rows = sorted(table.to_pylist(), key=lambda r: r["pos"])
+        rows = sorted(table.to_pylist(), key=lambda r: r["at"])
         if merkle([r["name"] for r in rows]) != rows[0]["root"]:
             raise ValueError(f"document {rows[0]['doc_id']} isn't what was written")
         ids = np.concatenate([unpacked(r["ids"]) for r in rows]).astype(np.int32)
         return pa.table({"doc_id": pa.array([rows[0]["doc_id"]], pa.int64()), "start": pa.array([rows[0]["start"]], pa.int64()), "ids": pa.array([ids.tolist()], pa.list_(pa.int32()))})
 
-    recipes = spark.read.parquet(f"{folder}/recipes")
-    parts = recipes.select("file", "doc_id", "start", "root", F.posexplode("chunks").alias("pos", "name"))
-    return parts.join(read_chunks(spark, folder), "name").groupBy("file", "start").applyInArrow(join, "doc_id long, start long, ids array<int>")
+    recipes = _recipes(spark, folder).join(places(spark, folder), "file").withColumn("start", F.col("place") + F.col("before"))
+    parts = recipes.select("file", "pos", "doc_id", "start", "root", F.posexplode("chunks").alias("at", "name"))
+    return parts.join(read_chunks(spark, folder), "name").groupBy("file", "pos").applyInArrow(join, "doc_id long, start long, ids array<int>")
 
 
 def encode_and_read_back(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 2) -> DataFrame:

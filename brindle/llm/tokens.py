@@ -44,14 +44,18 @@ class _Memory(dict):
 
 
 class Encoder:
-    """encode(texts) gives, for each text, its ids as little-endian unsigned 32-bit integers."""
+    """encode(texts) gives, for each text, its ids as little-endian unsigned 32-bit integers.
+
+    They are those of the library's encode(text, add_special_tokens=False); texts in which the file's special tokens
+    are spelled out go through it whole.
+    """
 
     def __init__(self, path: str, remember: int = 300_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or r"(?!)")
         self.model = self.library.model
         self.visible = _visible()
         blank = self.library.encode("a b", add_special_tokens=False).tokens[-1]
@@ -92,6 +96,9 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         out, inner, heads = [], self.inner.__getitem__, self.heads.__getitem__
         for text in texts:
+            if self.special.search(text):
+                out.append(self.whole(text))
+                continue
             try:
                 lines = []
                 for line in text.split("\n") if text else ():

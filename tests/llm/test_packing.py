@@ -2,12 +2,13 @@ import zlib
 
 import numpy as np
 from brindle.llm.packing import BestFit, best_fit_pack
-from brindle.llm.tokens import Encoder, vocabulary
+from brindle.llm.tokens import vocabulary
+from tokenizers import Tokenizer
 
 
 def whole_ids(texts):
-    e = Encoder(vocabulary("word_bpe_49k.json"))
-    return [e.library.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    library = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    return [library.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
 
 
 def check(got, want, capacity):

@@ -1,4 +1,7 @@
+import shutil
+import uuid
 import zlib
+from functools import cache
 
 import numpy as np
 import pytest
@@ -7,24 +10,38 @@ from brindle.llm.common import shared_folder
 from brindle.llm.tokens import Encoder, vocabulary
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
-LIBRARY = {}
 
+@cache
+def plain(name):
+    return Tokenizer.from_file(vocabulary(name))
 
+
+@cache
 def encoder(name):
-    return LIBRARY.setdefault(name, Encoder(vocabulary(name)))
+    return Encoder(vocabulary(name))
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(st.sampled_from("ab1 \n\t'sé #́.A \x1cΣÅİ日<|endoftext|>"), max_size=30), max_size=4))
+@given(st.lists(st.text(st.sampled_from("ab1 \n\t'sé #́.A \x1cΣÅİ日<|endoftext|>"), max_size=30) | st.lists(st.sampled_from(["a", "É", "ß", ",", "<|endoftext|>", " ", "\n", "'s", "İ", "-"]), max_size=12).map("".join), max_size=4))
 def test_pieces_give_what_whole_texts_give(name, texts):
     e = encoder(name)
-    assert e.encode(texts) == [np.array(x.ids, "<u4").tobytes() for x in e.library.encode_batch(texts, add_special_tokens=False)]
+    assert e.encode(texts) == [np.array(x.ids, "<u4").tobytes() for x in plain(name).encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_documents_give_what_the_library_gives(name, texts):
+    small = Encoder(vocabulary(name), remember=50)  # forgets all the time
+    rows = [*texts.values(), "a <|endoftext|> b", "<|startoftext|>", "x <|END|> y", "It's so. don't!!! (yes) ÀÉ,ÿ Ĳssel. 'quoted' --- é\u0301"]
+    want = [np.array(x.ids, "<u4").tobytes() for x in plain(name).encode_batch(rows, add_special_tokens=False)]
+    assert encoder(name).encode(rows) == want
+    assert [small.encode([r])[0] for r in rows] == want
 
 
 def test_round_trip(spark, documents, odd_docs, no_docs):
-    library = encoder("byte_bpe_50k.json").library
+    library = plain("byte_bpe_50k.json")
     for df in (documents, odd_docs):
         rows = [(r.doc_id, library.encode(r.text or "", add_special_tokens=False).ids + [2]) for r in df.select("doc_id", "text").collect()]
         folder = shared_folder(spark, "store")
@@ -39,6 +56,32 @@ def test_round_trip(spark, documents, odd_docs, no_docs):
     assert ts.encode_and_read_back(no_docs).collect() == []
 
 
+def test_damage_is_found(spark, documents, tmp_path):
+    """Chunks of a recipe in the wrong order, a recipe left out of its file."""
+    folder = f"file://{tmp_path}/store"
+    ts.write_store(documents.where("n_chars > 5000"), folder)
+
+    def changed(part, make):
+        was = spark.read.parquet(f"{folder}/{part}")
+        rows = was.toPandas()
+        other = f"file://{tmp_path}/{uuid.uuid4().hex}"
+        for p in ("staged", "recipes", "manifest"):
+            shutil.copytree(f"{tmp_path}/store/{p}", f"{other[7:]}/{p}")
+        shutil.rmtree(f"{other[7:]}/{part}")
+        spark.createDataFrame(make(rows), was.schema).write.parquet(f"{other}/{part}")
+        return other
+
+    def swapped(rows):
+        i = next(i for i, c in enumerate(rows.chunks) if len(c) > 2)
+        rows.at[i, "chunks"] = list(rows.chunks[i])[::-1]
+        return rows
+
+    assert len(ts.digest(spark, folder).collect()) == documents.where("n_chars > 5000").count()
+    for other in (changed("recipes", swapped), changed("recipes", lambda r: r.iloc[1:])):
+        with pytest.raises(Exception, match="isn't"):
+            ts.digest(spark, other).collect()
+
+
 def test_crc_of_parts():
     rng = np.random.default_rng(1)
     data = rng.bytes(5000)
