@@ -1,3 +1,4 @@
+import random
 import re
 
 from brindle.llm import licenses as lic
@@ -38,3 +39,32 @@ def test_labels_by_voting(spark, no_docs):
     labels = [r.labels for r in lic.scan_licenses(df).orderBy("doc_id").collect()]
     assert labels == ["apache", "cc-by,gpl,reserved", "mit", "cc-by,cc-by-nc", "", "mit", "reserved"]
     assert lic.scan_licenses(no_docs).collect() == []
+
+
+def votes(text, templates):
+    """Labels and score by trying all places."""
+    words, best, labels = re.findall("[a-z0-9]+", text), 0.0, set()
+    for label, t in templates:
+        t = t.split()
+        hits = {(i - p, p) for i in range(len(words) - 2) for p in range(len(t) - 2) if words[i : i + 3] == t[p : p + 3]}
+        for first in {d for d, _ in hits}:
+            covered = {p + n for d, p in hits if first <= d <= first + lic.NEAR for n in range(3)}
+            best = max(best, len(covered) / len(t))
+            labels |= {label} if len(covered) / len(t) >= lic.COVER else set()
+    return labels, best
+
+
+def test_votes_equal_brute_force(spark):
+    r = random.Random(4)
+    templates = [("x", "a b c d e f g h i j"), ("y", "a b c a b c a b"), ("z", "d e f d e f")]
+    texts = [" ".join(r.choice("a b c d e f g h i j other".split()) for _ in range(r.randint(0, 30))) for _ in range(60)]
+    for _ in range(120):
+        words = [w for _ in range(r.randint(1, 3)) for w in r.choice(templates)[1].split() + ["other"] * r.randint(0, 4)]
+        for _ in range(r.randint(0, 3)):
+            at = r.randrange(len(words))
+            words[at : at + r.randint(0, 1)] = ["new"] * r.randint(0, 1)
+        texts.append(" ".join(words))
+    texts += texts[:20]
+    got = lic.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates=templates).collect()
+    want = {i: votes(t, templates) for i, t in enumerate(texts)}
+    assert {r.doc_id: (set(filter(None, r.labels.split(","))), round(r.score, 9)) for r in got} == {i: (a, round(b, 9)) for i, (a, b) in want.items()}
