@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -206,15 +207,24 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+@cache
+def _shift_tables(bit: int) -> np.ndarray:
+    """4 x 256: what the four bytes of a CRC-32 become when 2**bit zero bytes follow, to be XORed."""
+    power = np.array([1 << 23], np.uint32)  # x to the 8: one byte
+    for _ in range(bit):
+        power = _times(power, power)
+    values = np.arange(256, dtype=np.uint32)
+    return np.array([_times(values << np.uint32(8 * i), np.repeat(power, 256)) for i in range(4)])
+
+
 def crc_before(crc: np.ndarray, follow: np.ndarray) -> np.ndarray:
     """What a part with this CRC-32 adds to that of a whole in which so many bytes follow; the parts' shares are XORed."""
-    power, out = np.full(len(crc), 1 << 23, np.uint32), crc.astype(np.uint32)  # x to the 8: one byte
-    follow = follow.astype(np.int64)
+    out, follow = crc.astype(np.uint32), follow.astype(np.int64)
     for bit in range(int(follow.max(initial=0)).bit_length()):
-        odd = ((follow >> bit) & 1).astype(bool)
-        if odd.any():
-            out[odd] = _times(out[odd], power[odd])
-        power = _times(power, power)
+        odd = np.flatnonzero((follow >> bit) & 1)
+        if len(odd):
+            t, x = _shift_tables(bit), out[odd]
+            out[odd] = t[0][x & 255] ^ t[1][(x >> 8) & 255] ^ t[2][(x >> 16) & 255] ^ t[3][x >> 24]
     return out
 
 

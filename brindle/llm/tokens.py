@@ -20,6 +20,10 @@ BORDER = re.compile(f"(?<={_SOLID}) (?={_SOLID})")
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įĲ-ɏ]*)([!-/:-@\[-`{-~]*)")
 
 
+#: How byte-level vocabularies print a blank.
+BLANK = "Ġ"
+
+
 def _visible() -> dict[int, str]:
     """The printable stand-ins of byte-level vocabularies: other bytes take the code points from 256 on."""
     keep = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -50,23 +54,24 @@ class Encoder:
     are spelled out go through it whole.
     """
 
-    def __init__(self, path: str, remember: int = 300_000) -> None:
+    def __init__(self, path: str, remember: int = 500_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or r"(?!)")
-        self.model = self.library.model
+        self.tokenize = self.library.model.tokenize
         self.visible = _visible()
         blank = self.library.encode("a b", add_special_tokens=False).tokens[-1]
         #: Whether the blank before a word is part of its token; else words are lower-cased and blanks dropped.
-        self.keeps_blank = blank == f"{self.visible[32]}b"
+        self.keeps_blank = blank == f"{BLANK}b"
         if not self.keeps_blank and blank != "b</w>":
             raise ValueError("this kind of vocabulary isn't supported")
         #: A line feed between such characters is cut off likewise: a token of its own, or dropped.
         self.line_end = self.whole("\n") if self.keeps_blank else b""
         self.bytes_of = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
-        self.parts = _Memory(self.part, remember)
+        self.marks = _Memory(self.part, remember // 10)
+        self.hidden = {k: v for k, v in self.visible.items() if k > 126}
         self.inner = _Memory(lambda p: self.piece(p, " "), remember)
         self.heads = _Memory(lambda p: self.piece(p, ""), remember // 10)
 
@@ -75,23 +80,29 @@ class Encoder:
 
     def piece(self, piece: str, before: str) -> bytes | None:
         """None, where the piece is empty or has white space at an end, so that it can't be taken alone."""
+        if piece.isascii() and piece.isalpha():
+            return self.letters(piece, before)
         m = PLAIN.fullmatch(piece)
         if m is None or not piece:
             odd = not piece or BORDER.search(f"x {piece}") is None or BORDER.search(f"{piece} x") is None
             return None if odd else self.whole(before + piece)
         letters, marks = m.groups()
-        if not self.keeps_blank:
-            letters, before = letters.lower(), ""
-        ids = self.parts[before + letters] if letters else b""
-        if marks:
-            ids += self.parts[marks if letters else before + marks]
-        return ids
-
-    def part(self, part: str) -> bytes:
-        """The ids of letters or of marks alone, a blank before them where the vocabulary keeps it."""
-        seen = part if part.isascii() and part[0] != " " else "".join(map(self.visible.__getitem__, part.encode()))
+        if not letters:
+            return self.marks[before + marks if self.keeps_blank else marks]
+        return self.letters(letters, before) + self.marks[marks] if marks else self.letters(letters, before)
+
+    def letters(self, letters: str, before: str) -> bytes:
+        """The ids of letters alone, a blank before them where the vocabulary keeps it."""
+        seen = letters if self.keeps_blank else letters.lower()
+        if not seen.isascii():
+            seen = seen.encode().decode("latin-1").translate(self.hidden)
+        if before and self.keeps_blank:
+            seen = BLANK + seen
         bytes_of = self.bytes_of
-        return b"".join([bytes_of[t.id] for t in self.model.tokenize(seen)])
+        return b"".join([bytes_of[t.id] for t in self.tokenize(seen)])
+
+    def part(self, marks: str) -> bytes:
+        return self.letters(marks.removeprefix(" "), " " if marks[:1] == " " else "")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out, inner, heads = [], self.inner.__getitem__, self.heads.__getitem__
