@@ -90,20 +90,50 @@ def _matches(text: Column, kind: Kind) -> Column:
     return F.when(F.contains(text, F.lit(kind.needs)), found).otherwise(F.array().cast("array<string>")) if kind.needs else found
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once, however often a lambda inside uses it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, combine) -> Column:
+    """The values combined from the first one to each. Runs of the square root's length are combined, then their ends:
+    appending to an array copies it, so one run over n values would take n * n steps."""
+
+    def one(run: Column) -> Column:
+        start = F.slice(run, 1, 1)
+        return F.aggregate(F.slice(run, 2, F.greatest(F.size(run), F.lit(1))), start, lambda acc, v: F.array_append(acc, combine(F.element_at(acc, -1), v)))
+
+    def runs(v: Column) -> Column:
+        step = F.ceil(F.sqrt(F.size(v))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.size(v) - 1, step), lambda i: one(F.slice(v, i + 1, step)))
+
+    def joined(inner: Column) -> Column:
+        ends = one(F.transform(inner, lambda x: F.element_at(x, -1)))
+        return let(ends, lambda before: F.flatten(F.transform(inner, lambda x, i: F.when(i == 0, x).otherwise(F.transform(x, lambda v: combine(F.get(before, i - 1), v))))))
+
+    return let(values, lambda v: let(runs(v), joined))
+
+
 def _places(text: Column, pattern: str, found: Column) -> Column:
-    """array<struct<start, end, text>> in code points: what splitting leaves between the matches tells where they are."""
+    """array<struct<start, end, text, before>> in code points: what splitting leaves between the matches tells where they are.
+
+    before: at most CONTEXT characters before the match, of the text since the last match but one.
+    """
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    empty = F.array().cast("array<struct<start:int,end:int,text:string>>")
+    empty = F.array().cast("array<struct<start:int,end:int,text:string,before:string>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["match"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), x["match"].alias("text"))).alias("out"))
+    def last(x: Column) -> Column:
+        return F.coalesce(F.substring(x, -CONTEXT, CONTEXT), F.lit(""))
 
-    walked = F.aggregate(
-        F.arrays_zip(gaps.alias("gap"), found.alias("match")), F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"]
-    )
-    return F.when(F.size(found) > 0, walked).otherwise(empty)
+    def spans(gap: Column) -> Column:
+        ends = running(F.zip_with(gap, found, lambda g, m: F.length(g) + F.length(m)), lambda a, b: a + b)
+        before = F.transform(gap, lambda g, i: last(F.concat(last(F.get(gap, i - 1)), last(F.get(found, i - 1)), last(g))))
+        return F.transform(
+            F.arrays_zip(ends.alias("end"), found.alias("text"), before.alias("before")),
+            lambda x: F.struct((x["end"] - F.length(x["text"])).alias("start"), x["end"].alias("end"), x["text"].alias("text"), x["before"].alias("before")),
+        )
+
+    return F.when(F.size(found) > 0, let(gaps, spans)).otherwise(empty)
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carry: list[str] | None = None) -> DataFrame:
@@ -130,18 +160,39 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
         def scored(s: Column) -> Column:
             score = F.lit(kind.score)
             if kind.words:
-                near = F.lower(F.substring(F.col("text"), F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT))))
-                score = score + F.when(near.rlike(f"(?<![a-z])(?:{kind.words})"), kind.hint).otherwise(0.0)
+                score = score + F.when(F.lower(s["before"]).rlike(f"(?<![a-z])(?:{kind.words})"), kind.hint).otherwise(0.0)
             return F.struct(s["start"].alias("start"), F.lit(i).alias("rank"), s["end"].alias("end"), F.lit(kind.name).alias("kind"), s["text"].alias("text"), score.alias("score"))
 
         return F.transform(spans, scored)
 
     df = df.select(*own, F.sort_array(F.concat(*[checked(i, k) for i, k in enumerate(BASE)])).alias("base"), F.concat(*[checked(i + len(BASE), k) for i, k in enumerate(ADDED)]).alias("more"))
-    fresh = F.filter("more", lambda s: (s["score"] >= LEAST_SCORE) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    df = df.withColumn("more", F.filter("more", lambda s: s["score"] >= LEAST_SCORE))
+    fresh = F.when(F.size("base") > 0, _apart(F.col("more"), F.col("base"))).otherwise(F.col("more"))
     df = df.withColumn("spans", F.when(F.size("more") > 0, F.sort_array(F.concat("base", fresh))).otherwise(F.col("base")))
     return df.select("doc_id", *kept, "base", "spans")
 
 
+def _apart(more: Column, base: Column) -> Column:
+    """Those of more that overlap none of base, which is ascending: found by halving, n log n."""
+
+    def free(reach: Column, base: Column) -> Column:
+        def overlaps(s: Column) -> Column:
+            def halve(acc: Column, _: Column) -> Column:
+                mid = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+                left = F.get(base, mid)["start"] < s["end"]
+                new = F.struct(F.when(left, mid + 1).otherwise(acc["low"]).alias("low"), F.when(left, acc["high"]).otherwise(mid).alias("high"))
+                return F.when(acc["low"] < acc["high"], new).otherwise(acc)
+
+            whole = F.struct(F.lit(0).alias("low"), F.size(base).alias("high"))
+            steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(base) + 1)).cast("int"))
+            before = F.aggregate(steps, whole, halve, lambda acc: acc["low"])  # so many begin before s ends
+            return let(before, lambda n: (n > 0) & (F.get(reach, n - 1) > s["start"]))
+
+        return F.filter(more, lambda s: ~overlaps(s))
+
+    return let(base, lambda b: let(running(F.transform(b, lambda x: x["end"]), F.greatest), lambda reach: free(reach, b)))
+
+
 def joined(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
@@ -157,11 +208,14 @@ def digest(docs: DataFrame) -> DataFrame:
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each span, or run of overlapping spans, replaced by the first one's kind in brackets."""
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        tag = F.when(s["start"] >= acc["at"], F.concat(gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.array_append(acc["out"], tag).alias("out"))
+    def whole(chars: Column, spans: Column, reach: Column) -> Column:
+        def part(s: Column, i: Column) -> Column:
+            at = F.when(i == 0, F.lit(0)).otherwise(F.get(reach, i - 1))
+            gap = F.array_join(F.slice(chars, at + 1, F.greatest(s["start"] - at, F.lit(0))), "")
+            return F.when(s["start"] >= at, F.concat(gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(F.lit(""))
+
+        rest = F.slice(chars, F.element_at(reach, -1) + 1, F.size(chars))
+        return F.concat(F.array_join(F.transform(spans, part), ""), F.array_join(rest, ""))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    whole = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    ends = running(F.transform(spans, lambda s: s["end"]), F.greatest)
+    return F.when(F.size(spans) > 0, let(spans, lambda s: let(F.split(text, ""), lambda c: let(ends, lambda r: whole(c, s, r))))).otherwise(text)

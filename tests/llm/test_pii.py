@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from brindle.llm.pii import digest, find_pii, redacted
 from pyspark.sql import functions as F
@@ -63,3 +64,24 @@ def test_added_spans_and_redaction(spark, no_docs):
     assert found[6].clean == 'ssn [SSN], call [NATIONAL_PHONE], token = "[SECRET]" 987-65-4321'
     assert found[3].clean == "é🎉 [EMAIL] 日 [IP]\n[PHONE]"
     assert digest(no_docs).collect() == []
+
+
+def test_long_texts_full_of_matches(spark):
+    """A megabyte of matches takes seconds, spans and redaction included."""
+    texts = {"email": "a@b.c ", "ip": "10.20.30.40 ", "phone": "+49 30 1234567 ", "ssn": "ssn 123-45-6789, "}
+    docs = spark.createDataFrame([(i, t * (1_000_000 // len(t))) for i, t in enumerate(texts.values())], "doc_id long, text string")
+    began = time.perf_counter()
+    rows = {r.doc_id: r for r in find_pii(docs, keep_text=True).select("doc_id", "spans", redacted(F.col("text"), F.col("spans")).alias("clean")).collect()}
+    for i, (kind, t) in enumerate(texts.items()):
+        n, at = 1_000_000 // len(t), t.index("1") if kind == "ssn" else 0
+        assert [(s.start, s.end, s.kind) for s in rows[i].spans] == [(at + k * len(t), (k + 1) * len(t) - len(t[at:]) + len(t[at:].rstrip(" ,")), kind) for k in range(n)]
+        assert rows[i].clean == (t[:at] + f"[{kind.upper()}]" + t[at + len(t[at:].rstrip(" ,")) :]) * n
+    assert time.perf_counter() - began < 60
+
+
+def test_added_spans_keep_clear_of_base_ones(spark):
+    text = "card 4111 1111 1111 1111 tel 555-123-4567 mail password-a1b2c3d4e5f6g7h8i9j0@example.org token a1b2c3d4e5f6g7h8i9j0k1 😀 ssn 123-45-6789"
+    r = find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert [(s.kind, text[s.start : s.end]) for s in r.spans] == [
+        ("card", "4111 1111 1111 1111"), ("national_phone", "555-123-4567"), ("email", "password-a1b2c3d4e5f6g7h8i9j0@example.org"), ("secret", "a1b2c3d4e5f6g7h8i9j0k1"), ("ssn", "123-45-6789"),
+    ]
