@@ -19,8 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+#: Where a tag may end, or a quoted value begin.
+STOP = re.compile("[>\"']")
+ATTRIBUTE = re.compile(r"(?<![^\s=\"'/>])([^\s=\"'/>]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++))")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe svg template".split())
 BLOCK = frozenset(
@@ -30,7 +32,8 @@ BLOCK = frozenset(
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = BLOCK - {"br", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "body", "html"}
 SCOPE = frozenset("table td th ul ol dl div article section body html main aside nav footer header form blockquote".split())
-NEVER = RAW | {"head", "form", "button", "select", "input", "option", "nav", "canvas", "object", "audio", "video"}
+#: What never holds main text; all else, forms too, is for the trees to decide.
+NEVER = RAW | {"head", "button", "select", "input", "option", "canvas", "object", "audio", "video"}
 
 # Words of class, id and role attributes, by what they speak for.
 HINTS = {
@@ -59,65 +62,109 @@ class Node:
     main: bool = False
 
 
-def parse(page: str) -> list[Node]:
-    """Elements in page order, parents first; an error-tolerant reading."""
-    nodes = [Node("root", -1, 0)]
-    stack, at, raw = [0], 0, None
-
-    def text(piece: str) -> None:
-        if piece:
-            nodes[stack[-1]].content.append(html.unescape(piece))
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Where each tag begins and ends, its name, whether it is an end tag, and its attributes, in one pass.
 
-    while at < len(page):
-        if raw:  # nothing but its end tag ends a raw element
-            end = re.compile(f"</{raw}\\s*>", re.I).search(page, at)
-            stack.pop()
-            at, raw = (end.end() if end else len(page)), None
+    Comments and declarations have no name. A quote that is never closed is a character like others; after the last
+    '>' all is text. Nothing inside a raw element is a tag but its end, which comes as a nameless piece.
+    """
+    at, open_quote = 0, {'"': True, "'": True}
+    while (begin := page.find("<", at)) >= 0:
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            at = len(page) if end < 0 else end + 3
+            yield begin, at, "", False, ""
             continue
-        m = TOKEN.search(page, at)
+        m = NAME.match(page, begin)
         if m is None:
-            text(page[at:])
-            break
-        text(page[at : m.start()])
+            if page[begin + 1 : begin + 2] in ("!", "?"):
+                end = page.find(">", begin)
+                if end < 0:
+                    return
+                at = end + 1
+                yield begin, at, "", False, ""
+            else:
+                at = begin + 1
+            continue
         at = m.end()
-        if m[1] is None:
+        while True:
+            stop = STOP.search(page, at)
+            if stop is None:
+                return
+            at = stop.end()
+            if stop[0] == ">":
+                break
+            if open_quote[stop[0]]:
+                close = page.find(stop[0], at)
+                if close < 0:
+                    open_quote[stop[0]] = False
+                else:
+                    at = close + 1
+        name, ends, rest = m[1].lower(), page[begin + 1] == "/", page[m.end() : at - 1]
+        yield begin, at, name, ends, rest
+        if name in RAW and not ends and not rest.endswith("/"):
+            end = re.compile(f"</{name}\\s*>", re.I).search(page, at)
+            begin, at = at, end.end() if end else len(page)
+            yield begin, at, "", True, name
+
+
+class Stack:
+    """Open elements, and for each tag the places of its open ones."""
+
+    def __init__(self) -> None:
+        self.nodes, self.tags, self.at = [0], [""], {}
+
+    def push(self, node: int, tag: str) -> None:
+        self.at.setdefault(tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+        self.tags.append(tag)
+
+    def innermost(self, tags) -> int:
+        return max((p[-1] for t in tags if (p := self.at.get(t))), default=0)
+
+    def close(self, place: int) -> None:
+        for tag in self.tags[place:]:
+            self.at[tag].pop()
+        del self.nodes[place:], self.tags[place:]
+
+
+def parse(page: str) -> list[Node]:
+    """Elements in page order, parents first; an error-tolerant reading, in time linear in the page."""
+    nodes, stack, at = [Node("root", -1, 0)], Stack(), 0
+
+    def text(piece: str) -> None:
+        if piece:
+            nodes[stack.nodes[-1]].content.append(html.unescape(piece))
+
+    for begin, end, tag, ends, rest in tags(page):
+        text(page[at:begin])
+        at = end
+        if not tag:
+            if ends:  # a raw element's content and end
+                stack.close(len(stack.nodes) - 1)
             continue
-        tag = m[1].lower()
-        if page[m.start() + 1] == "/":
-            for i in range(len(stack) - 1, 0, -1):
-                if nodes[stack[i]].tag == tag:
-                    del stack[i:]
-                    break
+        if ends:
+            if place := stack.innermost([tag]):
+                stack.close(place)
             continue
-        if tag in ENDS_P:
-            for i in range(len(stack) - 1, 0, -1):
-                t = nodes[stack[i]].tag
-                if t == "p":
-                    del stack[i:]
-                    break
-                if t in SCOPE:
-                    break
-        for i in range(len(stack) - 1, 0, -1) if tag in CLOSES else ():
-            t = nodes[stack[i]].tag
-            if t in CLOSES[tag]:
-                del stack[i:]
-                break
-            if t in SCOPE - CLOSES[tag]:
-                break
+        if tag in ENDS_P and (place := stack.innermost(["p"])) > stack.innermost(SCOPE):
+            stack.close(place)
+        if tag in CLOSES and (place := stack.innermost(CLOSES[tag])) > stack.innermost(SCOPE - CLOSES[tag]):
+            stack.close(place)
         hints = []
-        for a in ATTRIBUTE.finditer(m[2] or ""):
+        for a in ATTRIBUTE.finditer(rest):
             if a[1].lower() in ("class", "id", "role", "itemprop", "aria-label"):
                 for w in re.split(r"[^a-z]+", (a[2] or a[3] or a[4] or "").lower()):
                     if w in _HINT:
                         hints.append(_HINT[w])
-        parent = stack[-1]
+        parent = stack.nodes[-1]
         nodes.append(Node(tag, parent, nodes[parent].depth + 1, tuple(hints)))
         n = len(nodes) - 1
         nodes[parent].children.append(n)
         nodes[parent].content.append(n)
-        if tag not in VOID and not (m[2] or "").endswith("/"):
-            stack.append(n)
-            raw = tag if tag in RAW else None
+        if tag not in VOID and not rest.endswith("/"):
+            stack.push(n, tag)
+    text(page[at:])
     return nodes
 
 
@@ -153,10 +200,10 @@ def features(nodes: list[Node]) -> np.ndarray:
             kids[up] += kids[i]
             paras[up] += paras[i]
             words[up] += words[i]
-    tags, depth, parents, own_bits, up_bits, never = ([0] * n for _ in range(6))
+    kinds, depth, parents, own_bits, up_bits, never = ([0] * n for _ in range(6))
     place, among = [0] * n, [1] * n
     for i, x in enumerate(nodes):
-        tags[i] = _TAG.get(x.tag, TAGS.index("inline"))
+        kinds[i] = _TAG.get(x.tag, TAGS.index("inline"))
         depth[i], parents[i], never[i] = x.depth, max(x.parent, 0), x.tag in NEVER
         for h in x.hints:
             own_bits[i] |= 1 << h
@@ -169,7 +216,7 @@ def features(nodes: list[Node]) -> np.ndarray:
     pl, am = np.array(place, float), np.array(among, float)
     bit = np.arange(len(HINTS))
     return np.column_stack([
-        np.array(tags)[:, None] == np.arange(len(TAGS)), np.array(own_bits)[:, None] >> bit & 1, np.array(up_bits)[:, None] >> bit & 1, np.array(depth, float),
+        np.array(kinds)[:, None] == np.arange(len(TAGS)), np.array(own_bits)[:, None] >> bit & 1, np.array(up_bits)[:, None] >> bit & 1, np.array(depth, float),
         np.log1p(c), c / total, li / some, m / np.maximum(w, 1), np.log1p(k), c / k, np.log1p(np.array(paras, float)), np.minimum(pl, 200), pl / am, np.log1p(am),
         c / np.maximum(c[up.astype(int)], 1), w / k, np.array(never, float),
     ])
@@ -318,6 +365,8 @@ def training_page(r: random.Random) -> str:
     mid = "".join(before) + article + "".join(after)
     if r.random() < 0.3:
         mid = f'<div class="{r.choice(["container", "wrapper", "row"])}"{m}>{mid}</div>'
+    if r.random() < 0.15:  # one form around the whole page, as some servers write it
+        mid = f'<form method="post" action="/"{m}><input type="hidden" name="state">{mid}</form>'
     return f"<!DOCTYPE html><html{m}><head><title>{_prose(r, 2, 8)}</title><script>var a='</p>';</script></head><body{m}>{top}{mid}{bottom}</body></html>"
 
 
@@ -335,16 +384,8 @@ def trained(pages: int = 400, seed: int = 7) -> Trees:
 
 
 def _marked(page: str) -> list[bool]:
-    """For each start tag, whether it is marked: the nodes of parse() in order. Raw elements' contents hold none."""
-    out, at = [], 0
-    while m := TOKEN.search(page, at):
-        at = m.end()
-        if m[1] is not None and page[m.start() + 1] != "/":
-            out.append("data-main" in (m[2] or ""))
-            if m[1].lower() in RAW:
-                end = re.compile(f"</{m[1]}\\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-    return out
+    """For each start tag, whether it is marked: the nodes of parse() in order."""
+    return ["data-main" in rest for _, _, tag, ends, rest in tags(page) if tag and not ends]
 
 
 def main_text(page: str, trees: Trees) -> str:

@@ -1,8 +1,10 @@
 import html
 import random
 import re
+import time
 
 import numpy as np
+import pytest
 from brindle.llm import html_text as h
 
 
@@ -43,3 +45,22 @@ def test_edges(spark):
     got = sorted((str(r.page_id), r.text) for r in h.extract_main_text(df).collect())
     assert len(got) == 7 and ("None", "one & two") in got and ("2", "") in got and ("2", "no tags at all") in got and ("5", "") in got
     assert h.extract_main_text(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 300_000, "<a " * 300_000 + '">', "<!x " * 250_000, "<b>" * 150_000 + "<i></u>" * 80_000, "<p><div>" + "<b>" * 100_000 + "<h1></h1>" * 60_000, "<a " + "x" * 1_000_000 + ">", "<li>" * 200_000, "<a x='\"" * 150_000],
+    ids=["open tags", "unclosed quote", "declarations", "end tags of nothing", "headings in inline", "long attribute", "items", "mixed quotes"],
+)
+def test_a_broken_megabyte_takes_seconds(page):
+    began = time.perf_counter()
+    h.main_text(page, h.trained())
+    assert time.perf_counter() - began < 15
+
+
+def test_an_article_inside_a_form_stays():
+    body = "<nav><ul><li><a href='/'>Home</a></li><li><a href='/x'>More</a></li></ul></nav><article><h1>Title of it</h1>" + "<p>Some prose that goes on for a while, and then some more of it.</p>" * 6 + "</article><footer>&copy; us</footer>"
+    plain, wrapped = (h.main_text(f"<html><head><title>t</title></head><body>{x}</body></html>", h.trained()) for x in (body, f"<form method=post action='/'>{body}</form>"))
+    assert plain == wrapped and plain.startswith("Title of it\nSome prose") and plain.count("\n") == 6
+    small = "<form class='search'><label>Search this</label><input name=q><button>Go</button></form>"
+    assert h.main_text(f"<html><body>{small}{body}</body></html>", h.trained()) == plain
