@@ -1,6 +1,8 @@
+import random
 from collections import Counter
 
-from brindle.llm.decontaminate import decontaminate
+from brindle.llm.decontaminate import Items, clean_documents, decontaminate
+from pyspark.sql import functions as F
 
 
 def bag(words):
@@ -40,7 +42,33 @@ def test_edges(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, text), (1, text), (2, "too short"), (None, text), (3, None), (4, "the same text in two rows of one id")], "item_id long, text string")
     near = spark.createDataFrame([(10, "Before it. " + text.upper().replace("TWENTY ONE", "TWENTY 1", 1) + " after"), (11, text[:60]), (12, "too short")], "doc_id long, text string")
     got = {r.doc_id: r for r in decontaminate(near, items).collect()}
-    assert got[10].item_ids == [1] and 0.8 <= got[10].similarity < 1 and not got[11].contaminated and not got[12].contaminated
+    assert got[10].item_ids == [1] and 0.8 <= got[10].similarity < 1 and not got[11].contaminated and got[12].item_ids == [2] and got[12].similarity == 1
     rows = decontaminate(odd_docs, items).collect()
     assert len(rows) == odd_docs.count() and sorted(r.doc_id for r in rows if r.contaminated) == [4, 4, 5]
     assert decontaminate(no_docs, items).collect() == [] and not any(r.contaminated for r in decontaminate(odd_docs, items.limit(0)).collect())
+
+
+def test_rows_keep_their_columns(spark, odd_docs):
+    items = spark.createDataFrame([(4, "the same text in two rows of one id")], "item_id long, text string")
+    docs = odd_docs.withColumn("found", F.lit(3)).withColumn("rest", F.lit("x"))
+    got = clean_documents(docs, items)
+    assert got.columns == docs.columns and sorted(map(str, got.collect())) == sorted(str(r) for r in docs.collect() if r.doc_id not in (4, 5))
+
+
+def test_edited_items_are_found():
+    """Of windows that are just similar enough, all but a few in a thousand have fingerprints within the radius."""
+    r, want, got = random.Random(6), 0, 0
+    items = [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(r.randint(25, 120)))) for i in range(400)]
+    index = Items(items)
+    for i, text in items:
+        words, whole = text.split(), bag(text.split())
+        while True:
+            edited = list(words)
+            edited[r.randrange(len(words))] = f"e{r.random()}"
+            both = (bag(edited) & whole).total()
+            if both < 0.8 * (2 * whole.total() - both):
+                break
+            words = edited
+        want += 1
+        got += i in index.search(" ".join(["before"] * 9 + words + ["after"] * 9), 0.8)
+    assert got >= 0.995 * want
