@@ -204,7 +204,14 @@ def _left_over(own: DataFrame, tested: DataFrame, units: DataFrame, threshold: f
     return found.unionByName(rows.groupBy("h", "x", "y").applyInArrow(_compare(threshold), "a long, b long")).distinct()
 
 
-def _linked(members: DataFrame, units: DataFrame, threshold: float, hubs: int, few: int, block: int, folder: str) -> list[DataFrame]:
+def with_hubs(met: DataFrame, folder: str) -> DataFrame:
+    """Members of buckets (h, node, n) with hub: the member that meets most others in all its buckets. Of edited copies that is the original."""
+    popular = met.groupBy("node").agg(F.sum("n").alias("popular"))
+    hub = met.join(popular, "node").groupBy("h").agg(F.max_by("node", F.struct("popular", -F.col("node"))).alias("hub"))
+    return written(met.join(hub, "h"), "members", f"{folder}/members")
+
+
+def linked(members: DataFrame, units: DataFrame, threshold: float, hubs: int, few: int, block: int, folder: str) -> list[DataFrame]:
     """Tables (node, component) to be applied one after the other: the classes of the members (h, node, n, hub)."""
     pairs = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     tested = written(_verified(pairs, units, threshold), "tested", f"{folder}/pairs-0")
@@ -259,17 +266,14 @@ def _judged(docs: DataFrame, carry: list[str], threshold: float, bands: int, row
     buckets = texts.select("node", F.explode("bands").alias("h"))
     shared = buckets.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = written(buckets.join(shared, "h"), "met", f"{folder}/met")
-    # the hub of a bucket is the member that meets most others in all its buckets: of edited copies that is the original
-    popular = met.groupBy("node").agg(F.sum("n").alias("popular"))
-    hub = met.join(popular, "node").groupBy("h").agg(F.max_by("node", F.struct("popular", -F.col("node"))).alias("hub"))
-    members = written(met.join(hub, "h"), "members", f"{folder}/members")
+    members = with_hubs(met, folder)
     wanted = members.select("node").distinct()
     # never broadcast, at any size: the texts are dealt once, as on a large table
     units = signed.select(F.col("row").alias("node"), "text").join(wanted.hint("merge"), "node", "left_semi").mapInArrow(_elements, "node long, units array<long>")
     units = written(units, "units", f"{folder}/units")
 
     classes = texts.select("name", "head", "n", F.col("node").alias("c"))
-    maps = _linked(members, units, threshold, hubs, few, block, folder)
+    maps = linked(members, units, threshold, hubs, few, block, folder)
     for m in maps:
         classes = classes.join(m, F.col("c") == F.col("node"), "left").select("name", "head", "n", F.coalesce("component", "c").alias("c"))
     classes = written(classes, "classes", f"{folder}/classes")

@@ -1,11 +1,12 @@
 """Repeated passages: MinHash bands over content-anchored paragraphs, exact checks, components of removals.
 
 A shared passage can stand anywhere in a line, so paragraphs are runs of WORDS words that begin where the hash of two
-words is the least of some WINDOW in a row: the same passage has the same paragraphs wherever it stands. Bands of MinHashes over five-word shingles
-make colliding paragraphs meet in one sorted stream, where each is linked to the first of its bucket and to the first
-equal one; a bucket of any size passes through, no pairs are listed. Links between different paragraphs are verified
-by exact Jaccard similarity and joined to classes. Of a class that several documents hold, the first stays; what goes of
-the others is extended word by word, as long as they agree with the first.
+words is the least of some WINDOW in a row: the same passage has the same paragraphs wherever it stands. Bands of
+MinHashes over five-word shingles make colliding paragraphs meet in one sorted stream, from which equal ones go to the
+places of repeats and buckets of different ones to the search for links; a bucket of any size passes through. There
+members are compared with a hub by exact Jaccard similarity, and all pairs that hubs leave undecided with each other
+(see near_dedup); links make classes. Of a class that several documents hold, the first stays; what goes of the others
+is extended word by word, as long as they agree with the first.
 """
 
 from __future__ import annotations
@@ -17,9 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.operators.components import components
-
-from .common import WordHasher, id_and_text, mix, shared_folder, shingles, written
+from .common import WordHasher, forget, id_and_text, mix, portions, shared_folder, shingles, written
+from .near_dedup import BLOCK, FEW, HUBS, linked, with_hubs
 
 SIMILARITY = 0.8
 WORDS, SHINGLE = 25, 5
@@ -28,9 +28,11 @@ WORDS, SHINGLE = 25, 5
 WINDOW = 26
 #: Similar paragraphs may begin so many words apart; two words inside must agree before words outside are compared.
 SHIFT, INSIDE = 2, 2
-#: Three bands of two: a similarity of 0.8 collides with probability 0.95, equal paragraphs always.
-BANDS, ROWS = 3, 2
-LINK = "name long, row long, pos int, hub long, hub_row long, hub_pos int"
+#: Four bands of two: a similarity of 0.8 collides with probability 0.98, equal paragraphs always.
+BANDS, ROWS = 4, 2
+#: A bucket's hash has the number of its band in the lowest bits; a row without a band is a place of a repeat.
+BAND_BITS = 3
+PLACE = "h long, name long, row long, pos int"
 
 
 def anchored(hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,64 +64,68 @@ def paragraphs(hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, name, joint
 
 
+def _batch(h: np.ndarray, name: np.ndarray, row: np.ndarray, pos: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """Rows of PLACE; h is null where place is set."""
+    columns = [pa.array(h.view(np.int64), mask=place), pa.array(name.view(np.int64)), pa.array(row.astype(np.int64)), pa.array(pos.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, names=["h", "name", "row", "pos"])
+
+
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, text) to (h, name, row, pos, hub, hub_row, hub_pos): band rows, and links of repeats within the task."""
+    """(row, text) to band rows of the task's first paragraphs of a name, and the places of names that the task repeats."""
     hasher, first = WordHasher(), {}
+    band = np.arange(BANDS, dtype=np.uint64)
     for batch in batches:
-        cols: list[list[np.ndarray]] = [[] for _ in range(7)]
-        for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            at, name, joint = paragraphs(hasher(text.encode("utf-8", "surrogatepass").split()))
-            if not len(at):
-                continue
-            hubs = [first.setdefault(n, (row, p)) for n, p in zip(name.tolist(), at.tolist(), strict=True)]
-            hub_row, hub_pos = (np.array(x, np.int64) for x in zip(*hubs, strict=True))
-            new = (hub_row == row) & (hub_pos == at)
-            rows = np.full(len(at), row, np.int64)
-            none = np.full(new.sum(), -1, np.int64)
-            for b in range(BANDS):
-                for c, x in zip(cols, (mix(joint[new, b], 50 + b), name[new], rows[new], at[new], name[new], none, none), strict=True):
+        for part, texts in portions(batch, 1, 500, 1_000_000):
+            cols: list[list[np.ndarray]] = [[] for _ in range(5)]
+            for row, text in zip(part.column(0).to_pylist(), texts, strict=True):
+                at, name, joint = paragraphs(hasher(text.encode("utf-8", "surrogatepass").split()))
+                if not len(at):
+                    continue
+                hubs = [first.setdefault(n, (row, p)) for n, p in zip(name.tolist(), at.tolist(), strict=True)]
+                hub_row, hub_pos = (np.array(x, np.int64) for x in zip(*hubs, strict=True))
+                new = (hub_row == row) & (hub_pos == at)
+                h = mix(joint[new], 50) & ~np.uint64((1 << BAND_BITS) - 1) | band
+                n, old = h.size, np.flatnonzero(~new)
+                rows = np.full(len(at), row, np.int64)
+                both = np.r_[old, old]
+                for c, x in zip(
+                    cols,
+                    (np.r_[h.ravel(), np.zeros(len(both), np.uint64)], np.r_[np.repeat(name[new], BANDS), name[both]], np.r_[np.full(n, row), rows[old], hub_row[old]],
+                     np.r_[np.repeat(at[new], BANDS), at[old], hub_pos[old]], np.arange(n + len(both)) >= n), strict=True,
+                ):
                     c.append(x)
-            old = ~new
-            for c, x in zip(cols, (mix(name[old] ^ rows[old].view(np.uint64), 60), name[old], rows[old], at[old], name[old], hub_row[old], hub_pos[old]), strict=True):
-                c.append(x)
-        if len(first) > 300_000:
-            first.clear()
-        if cols[0]:
-            h, name, row, pos, hub, hub_row, hub_pos = (np.concatenate(c) for c in cols)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array(name.view(np.int64)), pa.array(row), pa.array(pos.astype(np.int32)), pa.array(hub.view(np.int64)), pa.array(hub_row), pa.array(hub_pos.astype(np.int32))],
-                names=["h", "name", "row", "pos", "hub", "hub_row", "hub_pos"],
-            )
+            if len(first) > 300_000:
+                first.clear()
+            if cols[0]:
+                yield _batch(*(np.concatenate(c) for c in cols))
 
 
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A stream sorted by h, name, row, pos to links: to the first of the same h, and to the first of the same h and name."""
-    bucket = same = None  # (h, name, row, pos) that the current runs began with
+    """A stream sorted by h, name, row, pos to the places of names that stand in it twice (by the first band), and to the
+    members (h, name and its first place) of buckets with several names. Places without a bucket pass."""
+    carried = None  # the first rows of the bucket and of the name that the stream is in
     for batch in batches:
-        c = {n: x.to_numpy(zero_copy_only=False) for n, x in zip(batch.schema.names, batch.columns, strict=True)}
+        yield batch.filter(batch.column("h").is_null())
+        batch = batch.filter(batch.column("h").is_valid())
         if not batch.num_rows:
             continue
-        done = c["hub_row"] >= 0
-        live = np.flatnonzero(~done)
-        out = [{n: c[n][done] for n in ("name", "row", "pos", "hub", "hub_row", "hub_pos")}]
-        if len(live):
-            h, name, row, pos = (c[n][live] for n in ("h", "name", "row", "pos"))
-            if bucket is not None:
-                h, name, row, pos = (np.r_[[b, s], x] for b, s, x in zip(bucket, same, (h, name, row, pos), strict=True))
-            new_h = np.r_[True, h[1:] != h[:-1]]
-            new_n = new_h | np.r_[True, name[1:] != name[:-1]]
-            # what was carried over repeats the beginnings of runs: the second entry may begin a run of its own name
-            to_h, to_n = np.maximum.accumulate(np.where(new_h, np.arange(len(h)), 0)), np.maximum.accumulate(np.where(new_n, np.arange(len(h)), 0))
-            mine = np.arange(len(h)) >= (2 if bucket is not None else 0)
-            for to in (to_h, to_n):
-                pick = mine & (to != np.arange(len(h))) & ((row[to] != row) | (pos[to] != pos))
-                if to is to_h:
-                    pick &= (name[to] != name) & (row[to] != row)
-                out.append({"name": name[pick], "row": row[pick], "pos": pos[pick], "hub": name[to][pick], "hub_row": row[to][pick], "hub_pos": pos[to][pick]})
-            i, j = to_h[-1], to_n[-1]
-            bucket, same = (h[i], name[i], row[i], pos[i]), (h[j], name[j], row[j], pos[j])
-        cols = {n: np.concatenate([o[n] for o in out]) for n in ("name", "row", "pos", "hub", "hub_row", "hub_pos")}
-        yield pa.RecordBatch.from_arrays([pa.array(cols[n].astype(np.int32 if n in ("pos", "hub_pos") else np.int64)) for n in cols], names=list(cols))
+        h, name, row, pos = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        skip = 0
+        if carried is not None:
+            skip = 2
+            h, name, row, pos = (np.r_[[a, b], x] for a, b, x in zip(*carried, (h, name, row, pos), strict=True))
+        index = np.arange(len(h))
+        new_h = np.r_[True, h[1:] != h[:-1]]
+        new_name = new_h | np.r_[True, name[1:] != name[:-1]]
+        bucket, same = np.maximum.accumulate(np.where(new_h, index, 0)), np.maximum.accumulate(np.where(new_name, index, 0))
+        repeat = (same != index) & (h & ((1 << BAND_BITS) - 1) == 0) & (index >= skip) & ((row != row[same]) | (pos != pos[same]))
+        places = np.unique(np.r_[index[repeat], same[repeat]])
+        other = new_name & (bucket != index)
+        members = np.unique(np.r_[index[other], bucket[other]])
+        pick = np.r_[members, places]
+        yield _batch(h[pick], name[pick], row[pick], pos[pick], np.arange(len(pick)) >= len(members))
+        i, j = bucket[-1], same[-1]
+        carried = (h[i], name[i], row[i], pos[i]), (h[j], name[j], row[j], pos[j])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +138,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for p in places:
                 names.append(p["name"])
                 sets.append(np.unique(s[p["pos"] : p["pos"] + WORDS - SHINGLE + 1]).view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["name", "units"])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "units"])
 
 
 def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +168,7 @@ def _extended(ranges: DataFrame, base: DataFrame, folder: str) -> DataFrame:
         part = ranges.where(F.col(f"{k}row") != F.col("row")).select(F.inline(both))
         wanted = part if wanted is None else wanted.unionByName(part)
     by_row = wanted.distinct().groupBy("row").agg(F.collect_list("pos").alias("places"))
-    around = base.select("row", "text").join(by_row, "row").select("row", "text", "places").mapInArrow(_around, "row long, pos int, before array<long>, after array<long>")
+    around = base.select("row", "text").join(by_row.hint("merge"), "row").select("row", "text", "places").mapInArrow(_around, "row long, pos int, before array<long>, after array<long>")
     around = written(around, "around", f"{folder}/around")
     out = ranges
     for k, words in (("l", "before"), ("r", "after")):
@@ -189,34 +195,33 @@ def repeated_passages(docs: DataFrame, threshold: float = SIMILARITY) -> DataFra
     """
     spark = docs.sparkSession
     folder = shared_folder(spark, "passages")
-    base = id_and_text(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    emitted = base.select("row", "text").mapInArrow(_emit, "h long, name long, row long, pos int, hub long, hub_row long, hub_pos int")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = emitted.repartition(n, "h").sortWithinPartitions("h", "name", "row", "pos")
-    links = written(ordered.mapInArrow(_link, LINK).distinct(), "links", f"{folder}/links")
-    places = written(
-        links.select("name", "row", "pos").unionByName(links.select(F.col("hub").alias("name"), F.col("hub_row").alias("row"), F.col("hub_pos").alias("pos"))).distinct(), "places", f"{folder}/places"
-    )
-    pairs = links.where("name <> hub").select(F.greatest("name", "hub").alias("a"), F.least("name", "hub").alias("b")).distinct()
-    pairs = written(pairs, "pairs", f"{folder}/pairs")
-    wanted = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
-    one = places.join(wanted, "name", "left_semi").groupBy("name").agg(F.min(F.struct("row", "pos")).alias("p"))
+    # the numbers of rows name them in all that follows: given once, and written
+    base = written(id_and_text(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows", f"{folder}/rows")
+    emitted = base.select("row", "text").mapInArrow(_emit, PLACE)
+    # places without a bucket only pass; they are dealt evenly
+    key = F.coalesce("h", F.xxhash64("name", "row", "pos"))
+    ordered = emitted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions("h", "name", "row", "pos")
+    met = written(ordered.mapInArrow(_link, PLACE).distinct(), "met", f"{folder}/met")
+    places = written(met.select("name", "row", "pos").distinct(), "places", f"{folder}/places")
+    buckets = met.where("h IS NOT NULL").select("h", F.col("name").alias("node")).distinct()
+    members = with_hubs(buckets.join(buckets.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "h"), folder)
+    one = places.join(members.select(F.col("node").alias("name")).distinct(), "name", "left_semi").groupBy("name").agg(F.min(F.struct("row", "pos")).alias("p"))
     by_row = one.groupBy("p.row").agg(F.collect_list(F.struct("name", F.col("p.pos").alias("pos"))).alias("places"))
-    sets = base.select("row", "text").join(by_row, "row").select("text", "places").mapInArrow(_sets, "name long, units array<long>")
-    sets = written(sets, "sets", f"{folder}/sets")
-    both = F.size(F.array_intersect("x", "y"))
-    similar = (
-        pairs.join(sets.select(F.col("name").alias("a"), F.col("units").alias("x")), "a")
-        .join(sets.select(F.col("name").alias("b"), F.col("units").alias("y")), "b")
-        .where(both >= threshold * (F.size("x") + F.size("y") - both))
-    )
-    classes = components(similar.select("a", "b")).select(F.col("node").alias("name"), "component")
-    own = places.join(classes, "name", "left").select("name", "row", "pos", F.coalesce("component", "name").alias("c"))
+    units = base.select("row", "text").join(by_row.hint("merge"), "row").select("text", "places").mapInArrow(_sets, "node long, units array<long>")
+    units = written(units, "units", f"{folder}/units")
+    own = places.withColumn("c", F.col("name"))
+    maps = linked(members, units, threshold, HUBS, FEW, BLOCK, folder)
+    for m in maps:
+        own = own.join(m, F.col("c") == F.col("node"), "left").select("name", "row", "pos", F.coalesce("component", "c").alias("c"))
+    own = written(own, "own", f"{folder}/own")
+    forget(met, places, members, units, *maps)
     heads = own.groupBy("c").agg(F.min(F.struct("row", "pos")).alias("first"), F.max("row").alias("last_row")).where("first.row < last_row")
     # what a paragraph is extended against: the first equal one, as the first of its class may begin a word or two elsewhere
     twins = own.groupBy("name").agg(F.min(F.struct("row", "pos")).alias("twin"))
     against = F.when(F.col("twin.row") != F.col("row"), F.col("twin")).otherwise(F.col("first")).alias("against")
-    marked = own.join(heads, "c").join(twins, "name").select("row", "pos", against, ((F.col("first.row") == F.col("row")) & (F.col("first.pos") == F.col("pos"))).alias("is_first"))
+    # similar paragraphs that begin inside the first one are part of it
+    is_first = (F.col("first.row") == F.col("row")) & (F.col("pos") - F.col("first.pos") < WORDS)
+    marked = own.join(heads, "c").join(twins, "name").select("row", "pos", against, is_first.alias("is_first"))
     # a document that begins a class keeps all of its own occurrences' first; the other ones go
     place = F.struct("pos", F.col("against.row").alias("frow"), F.col("against.pos").alias("fpos"))
     gone = F.sort_array(F.collect_set(F.when(~F.col("is_first"), place)))

@@ -1,5 +1,7 @@
 import random
 
+from brindle.llm import passages
+from brindle.llm.common import WordHasher
 from brindle.llm.passages import repeated_passages
 
 
@@ -64,3 +66,52 @@ def test_passages_of_fifty_words_are_found_whole(spark):
             assert spans == []
         else:
             assert len(spans) == 1 and a - 3 <= spans[0][0] <= a and b <= spans[0][1] <= b + 3
+
+
+def brute(rows):
+    """Paragraphs by row, linked when equal or similar, by trying all pairs: rows that hold a class with another row."""
+    paras = []
+    for row, text in rows:
+        w = [x.encode() for x in text.split()]
+        at, _, _ = passages.paragraphs(WordHasher()(w))
+        paras += [(row, int(p), {tuple(w[i : i + 5]) for i in range(p, p + 21)}) for p in at]
+    parent = list(range(len(paras)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, (_, _, a) in enumerate(paras):
+        for j in range(i):
+            b = paras[j][2]
+            if len(a & b) >= 0.8 * len(a | b):
+                parent[root(i)] = root(j)
+    of = {}
+    for i, (row, p, _) in enumerate(paras):
+        of.setdefault(root(i), set()).add((row, p))
+    found = {}
+    for group in of.values():
+        if len({r for r, _ in group}) > 1:
+            for r, p in group:
+                found.setdefault(r, set()).add(p)
+    return {r: len(p) for r, p in found.items()}
+
+
+def test_links_equal_brute_force(spark, monkeypatch):
+    """Paragraphs that begin a word or two apart, copies with edits, and texts that share some words: with bands that miss
+    next to nothing, all classes are those of trying all pairs."""
+    monkeypatch.setattr(passages, "BANDS", 8)
+    monkeypatch.setattr(passages, "ROWS", 1)
+    r = random.Random(11)
+    common = words(r, 120)
+    rows = []
+    for i in range(60):
+        copy = list(common)
+        for _ in range(r.randint(0, 6)):
+            copy[r.randrange(len(copy))] = f"e{r.random()}"
+        at = r.randint(0, 60)
+        rows.append((i, " ".join(words(r, r.randint(5, 40)) + copy[at : at + r.randint(30, 60)] + words(r, r.randint(5, 40)))))
+    want = brute(rows)
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.n_repeated for x in got if x.n_repeated} == want
