@@ -48,19 +48,19 @@ def anchored(hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s, at
 
 
-def paragraphs(hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places, names (hashes of all words) and n x BANDS band hashes."""
+def paragraphs(hashed: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, names (hashes of all words) and n x bands band hashes."""
     s, at = anchored(hashed)
     if not len(at):
-        return at, s, np.zeros((0, BANDS), np.uint64)
+        return at, s, np.zeros((0, bands), np.uint64)
     name = np.full(len(at), WORDS, np.uint64)
     for i in range(0, WORDS - SHINGLE + 1, SHINGLE):
         name = mix(name ^ s[at + i], 32)
     inside = np.arange(WORDS - SHINGLE + 1)
-    joint = np.zeros((len(at), BANDS), np.uint64)
-    for b in range(BANDS):
-        for r in range(ROWS):
-            joint[:, b] = mix(joint[:, b] ^ mix(s, 40 + b * ROWS + r)[at[:, None] + inside].min(1), b)
+    joint = np.zeros((len(at), bands), np.uint64)
+    for b in range(bands):
+        for r in range(rows):
+            joint[:, b] = mix(joint[:, b] ^ mix(s, 40 + b * rows + r)[at[:, None] + inside].min(1), b)
     return at, name, joint
 
 
@@ -70,34 +70,35 @@ def _batch(h: np.ndarray, name: np.ndarray, row: np.ndarray, pos: np.ndarray, pl
     return pa.RecordBatch.from_arrays(columns, names=["h", "name", "row", "pos"])
 
 
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _emit(bands: int, rows: int):
     """(row, text) to band rows of the task's first paragraphs of a name, and the places of names that the task repeats."""
-    hasher, first = WordHasher(), {}
-    band = np.arange(BANDS, dtype=np.uint64)
-    for batch in batches:
-        for part, texts in portions(batch, 1, 500, 1_000_000):
-            cols: list[list[np.ndarray]] = [[] for _ in range(5)]
-            for row, text in zip(part.column(0).to_pylist(), texts, strict=True):
-                at, name, joint = paragraphs(hasher(text.encode("utf-8", "surrogatepass").split()))
-                if not len(at):
-                    continue
-                hubs = [first.setdefault(n, (row, p)) for n, p in zip(name.tolist(), at.tolist(), strict=True)]
-                hub_row, hub_pos = (np.array(x, np.int64) for x in zip(*hubs, strict=True))
-                new = (hub_row == row) & (hub_pos == at)
-                h = mix(joint[new], 50) & ~np.uint64((1 << BAND_BITS) - 1) | band
-                n, old = h.size, np.flatnonzero(~new)
-                rows = np.full(len(at), row, np.int64)
-                both = np.r_[old, old]
-                for c, x in zip(
-                    cols,
-                    (np.r_[h.ravel(), np.zeros(len(both), np.uint64)], np.r_[np.repeat(name[new], BANDS), name[both]], np.r_[np.full(n, row), rows[old], hub_row[old]],
-                     np.r_[np.repeat(at[new], BANDS), at[old], hub_pos[old]], np.arange(n + len(both)) >= n), strict=True,
-                ):
-                    c.append(x)
-            if len(first) > 300_000:
-                first.clear()
-            if cols[0]:
-                yield _batch(*(np.concatenate(c) for c in cols))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, first = WordHasher(), {}
+        band = np.arange(bands, dtype=np.uint64)
+        for batch in batches:
+            for part, texts in portions(batch, 1, 500, 1_000_000):
+                cols: list[list[np.ndarray]] = [[] for _ in range(5)]
+                for row, text in zip(part.column(0).to_pylist(), texts, strict=True):
+                    at, name, joint = paragraphs(hasher(text.encode("utf-8", "surrogatepass").split()), bands, rows)
+                    if not len(at):
+                        continue
+                    hubs = [first.setdefault(n, (row, p)) for n, p in zip(name.tolist(), at.tolist(), strict=True)]
+                    hub_row, hub_pos = (np.array(x, np.int64) for x in zip(*hubs, strict=True))
+                    new = (hub_row == row) & (hub_pos == at)
+                    h = mix(joint[new], 50) & ~np.uint64((1 << BAND_BITS) - 1) | band
+                    n, old = h.size, np.flatnonzero(~new)
+                    both, own = np.r_[old, old], np.full(len(at), row, np.int64)
+                    of_h, of_name = np.r_[h.ravel(), np.zeros(len(both), np.uint64)], np.r_[np.repeat(name[new], bands), name[both]]
+                    of_row, of_pos = np.r_[np.full(n, row), own[old], hub_row[old]], np.r_[np.repeat(at[new], bands), at[old], hub_pos[old]]
+                    for c, x in zip(cols, (of_h, of_name, of_row, of_pos, np.arange(n + len(both)) >= n), strict=True):
+                        c.append(x)
+                if len(first) > 300_000:
+                    first.clear()
+                if cols[0]:
+                    yield _batch(*(np.concatenate(c) for c in cols))
+
+    return run
 
 
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +121,11 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, same = np.maximum.accumulate(np.where(new_h, index, 0)), np.maximum.accumulate(np.where(new_name, index, 0))
         repeat = (same != index) & (h & ((1 << BAND_BITS) - 1) == 0) & (index >= skip) & ((row != row[same]) | (pos != pos[same]))
         places = np.unique(np.r_[index[repeat], same[repeat]])
-        other = new_name & (bucket != index)
+        # a bucket of one document's paragraphs, which overlap, is none; the batch's first and last one may go on
+        starts = np.flatnonzero(new_h)
+        several = np.minimum.reduceat(row, starts) < np.maximum.reduceat(row, starts)
+        several[0] = several[-1] = True
+        other = new_name & (bucket != index) & np.repeat(several, np.diff(np.r_[starts, len(h)]))
         members = np.unique(np.r_[index[other], bucket[other]])
         pick = np.r_[members, places]
         yield _batch(h[pick], name[pick], row[pick], pos[pick], np.arange(len(pick)) >= len(members))
@@ -186,7 +191,7 @@ def _extended(ranges: DataFrame, base: DataFrame, folder: str) -> DataFrame:
     return out.select("row", (F.col("s") - F.col("lmore")).alias("s"), (F.col("e") + F.col("rmore")).alias("e"))
 
 
-def repeated_passages(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+def repeated_passages(docs: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row a document: doc_id, n_repeated, n_removed, removed_words, removed.
 
     n_repeated: its paragraphs that other rows hold too; n_removed: those of them that aren't the first of their class,
@@ -197,15 +202,18 @@ def repeated_passages(docs: DataFrame, threshold: float = SIMILARITY) -> DataFra
     folder = shared_folder(spark, "passages")
     # the numbers of rows name them in all that follows: given once, and written
     base = written(id_and_text(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows", f"{folder}/rows")
-    emitted = base.select("row", "text").mapInArrow(_emit, PLACE)
+    emitted = base.select("row", "text").mapInArrow(_emit(bands, rows), PLACE)
     # places without a bucket only pass; they are dealt evenly
     key = F.coalesce("h", F.xxhash64("name", "row", "pos"))
     ordered = emitted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions("h", "name", "row", "pos")
     met = written(ordered.mapInArrow(_link, PLACE).distinct(), "met", f"{folder}/met")
-    places = written(met.select("name", "row", "pos").distinct(), "places", f"{folder}/places")
-    buckets = met.where("h IS NOT NULL").select("h", F.col("name").alias("node")).distinct()
-    members = with_hubs(buckets.join(buckets.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "h"), folder)
-    one = places.join(members.select(F.col("node").alias("name")).distinct(), "name", "left_semi").groupBy("name").agg(F.min(F.struct("row", "pos")).alias("p"))
+    buckets = met.where("h IS NOT NULL").select("h", F.col("name").alias("node"), "row")
+    shared = buckets.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("least"), F.max("row").alias("most")).where("least < most").select("h", "n")
+    members = with_hubs(buckets.select("h", "node").join(shared, "h"), folder)
+    known = members.select(F.col("node").alias("name")).distinct()
+    places = met.where("h IS NULL").select("name", "row", "pos").unionByName(met.where("h IS NOT NULL").select("name", "row", "pos").join(known, "name", "left_semi"))
+    places = written(places.distinct(), "places", f"{folder}/places")
+    one = places.join(known, "name", "left_semi").groupBy("name").agg(F.min(F.struct("row", "pos")).alias("p"))
     by_row = one.groupBy("p.row").agg(F.collect_list(F.struct("name", F.col("p.pos").alias("pos"))).alias("places"))
     units = base.select("row", "text").join(by_row.hint("merge"), "row").select("text", "places").mapInArrow(_sets, "node long, units array<long>")
     units = written(units, "units", f"{folder}/units")

@@ -98,11 +98,9 @@ def brute(rows):
     return {r: len(p) for r, p in found.items()}
 
 
-def test_links_equal_brute_force(spark, monkeypatch):
+def test_links_equal_brute_force(spark):
     """Paragraphs that begin a word or two apart, copies with edits, and texts that share some words: with bands that miss
     next to nothing, all classes are those of trying all pairs."""
-    monkeypatch.setattr(passages, "BANDS", 8)
-    monkeypatch.setattr(passages, "ROWS", 1)
     r = random.Random(11)
     common = words(r, 120)
     rows = []
@@ -113,5 +111,5 @@ def test_links_equal_brute_force(spark, monkeypatch):
         at = r.randint(0, 60)
         rows.append((i, " ".join(words(r, r.randint(5, 40)) + copy[at : at + r.randint(30, 60)] + words(r, r.randint(5, 40)))))
     want = brute(rows)
-    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), bands=8, rows=1).collect()
     assert {x.doc_id: x.n_repeated for x in got if x.n_repeated} == want
