@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHasher, forget, id_and_text, mix, portions, shared_folder, shingles, written
-from .near_dedup import BLOCK, FEW, HUBS, linked, with_hubs
+from .near_dedup import BLOCK, FEW, linked, with_hubs
 
 SIMILARITY = 0.8
 WORDS, SHINGLE = 25, 5
@@ -32,6 +32,8 @@ SHIFT, INSIDE = 2, 2
 BANDS, ROWS = 4, 2
 #: A bucket's hash has the number of its band in the lowest bits; a row without a band is a place of a repeat.
 BAND_BITS = 3
+#: Rounds of hubs; more would cost more than the pairs they leave.
+HUBS = 2
 PLACE = "h long, name long, row long, pos int"
 
 

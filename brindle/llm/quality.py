@@ -194,7 +194,8 @@ def fit_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **option
     marks = marks.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").drop("most")
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = id_and_text(docs).join(F.broadcast(chosen), "doc_id")
-    rows = statistics(texts).dropDuplicates(["doc_id"]).join(F.broadcast(chosen), "doc_id")
+    # of several texts of one doc_id always the same one
+    rows = statistics(texts).groupBy("doc_id").agg(F.min(F.struct(*COUNTS)).alias("s")).select("doc_id", "s.*").join(F.broadcast(chosen), "doc_id")
     table = rows.select("doc_id", "quality", *[F.expr(e).cast("double").alias(f) for f, e in FEATURES.items()]).limit(sample).toPandas()
     table = table.assign(h=mix_order(table.doc_id)).sort_values(["h", "doc_id"])
     return learn_list({f: table[f].to_numpy(float) for f in FEATURES}, (table.quality == 0).to_numpy(), **options)
