@@ -351,10 +351,10 @@ def _(c):
     return hierarchy.closure(c.tags)
 
 
-@query("bubble_up", """, d AS (SELECT volume_id, string_split(path, '/') AS p, size_bytes, allocated_bytes FROM locations WHERE fid % 3 = 0)
+@query("bubble_up", """, d AS (SELECT volume_id, string_split(path, '/') AS p, size_bytes, allocated_bytes FROM locations)
 SELECT volume_id, array_to_string(p[1:i], '/') AS path, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes, CAST(sum(allocated_bytes) AS BIGINT) AS allocated FROM d, unnest(range(2, len(p))) AS u(i) GROUP BY 1, 2""")
 def _(c):
-    return hierarchy.bubble_up(c.locations.where("fid % 3 = 0").selectExpr("volume_id", "path", "1 AS files", "size_bytes AS bytes", "allocated_bytes AS allocated"))
+    return hierarchy.bubble_up(c.locations.selectExpr("volume_id", "path", "1 AS files", "size_bytes AS bytes", "allocated_bytes AS allocated"))
 
 
 @query("mount_of_path", """, m AS (SELECT * FROM (VALUES ('/', 'ext4'), ('/docs', 'xfs'), ('/docs/src1', 'btrfs'), ('/web', 'ntfs')) t(mount_point, fs_type))
@@ -462,11 +462,12 @@ def _(c):
     return pairs.select("a", "b", F.round(jaro_winkler_column("a", "b"), 6).alias("similarity"))
 
 
-@query("hamming_pairs", """WITH s AS (SELECT vec_id, CAST(sum(CASE WHEN embedding[i + 1] > 0 THEN CAST(1 AS BIGINT) << i ELSE 0 END) AS BIGINT) AS h FROM embeddings, unnest(range(0, 24)) AS u(i) GROUP BY vec_id)
-SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM s a JOIN s b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.h, b.h)) <= 3""", catalog=False)
+@query("hamming_pairs", """WITH s AS (SELECT vec_id, CAST(sum(CASE WHEN embedding[i + 1] > 0 THEN CAST(1 AS UBIGINT) << i ELSE 0 END) AS UBIGINT) AS h FROM embeddings, unnest(range(0, 64)) AS u(i) GROUP BY vec_id)
+SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM s a JOIN s b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.h, b.h)) <= 7""", catalog=False)
 def _(c):
-    bits = F.aggregate(F.transform(F.slice("embedding", 1, 24), lambda x, i: F.when(x > 0, F.lit(2).cast("double") ** i).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x).cast("long")
-    return dedup.hamming_pairs(c.table("embeddings").select(F.col("vec_id").alias("id"), bits.alias("h")), 3).withColumn("distance", F.col("distance").cast("int"))
+    # the signs of all values as 64 bits
+    h = F.expr("aggregate(transform(slice(embedding, 1, 64), (x, i) -> if(x > 0, shiftleft(1L, i), 0L)), 0L, (a, x) -> a | x)")
+    return dedup.hamming_pairs(c.table("embeddings").select(F.col("vec_id").alias("id"), h.alias("h")), 7).withColumn("distance", F.col("distance").cast("int"))
 
 
 def _referenced(c: Corpus) -> DataFrame:
@@ -489,16 +490,22 @@ def _(c):
     return dedup.group_report(_referenced(c))
 
 
-@query("components", """WITH RECURSIVE e AS (SELECT o_custkey % 300 AS a, (o_custkey * 7 + 11) % 300 AS b FROM orders WHERE o_orderkey % 40 = 0), s AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b), reach AS (SELECT a AS node, a AS other FROM s UNION SELECT r.node, s.b FROM reach r JOIN s ON s.a = r.other)
-SELECT node, min(other) AS component FROM reach GROUP BY node""", catalog=False)
+#: Numbers of nations, customers and orders as nodes of one graph.
+_CUSTOMER, _ORDER = 1_000, 1_000_000_000_000
+
+
+@query("components", f"""WITH n AS (SELECT CAST(c_nationkey AS BIGINT) AS component, c_custkey FROM customer)
+SELECT component AS node, component FROM n UNION SELECT {_CUSTOMER} + c_custkey, component FROM n UNION SELECT {_ORDER} + o_orderkey, component FROM orders JOIN n ON o_custkey = c_custkey""", catalog=False)
 def _(c):
-    return dedup.group_pairs(c.table("orders").where("o_orderkey % 40 = 0").selectExpr("o_custkey % 300 AS a", "(o_custkey * 7 + 11) % 300 AS b"))
+    # all customers with their nations, and all orders with their customers: a few hubs with very many nodes
+    nations = c.table("customer").selectExpr("CAST(c_nationkey AS BIGINT) AS a", f"{_CUSTOMER} + c_custkey AS b")
+    return dedup.group_pairs(nations.unionByName(c.table("orders").selectExpr(f"{_CUSTOMER} + o_custkey AS a", f"{_ORDER} + o_orderkey AS b")))
 
 
 def _folders(c: Corpus) -> DataFrame:
     # chats as folders: each turn a file named by its number and role
     f = c.files.where("volume_id = 'chat'").select("volume_id", "path", F.octet_length("content").cast("long").alias("size_bytes"))
-    return dedup.folder_digests(f, 3)
+    return dedup.folder_digests(f)
 
 
 @query("folder_digests", """, f AS (SELECT regexp_extract(path, '^(.*)/', 1) AS dir, regexp_extract(path, '[^/]+$') || ':' || strlen(content) AS item, strlen(content) AS s FROM files WHERE volume_id = 'chat'), d AS (SELECT dir AS path, sha256(string_agg(item, '|' ORDER BY item)) AS digest, count(*) AS file_count, CAST(sum(s) AS BIGINT) AS total_size FROM f GROUP BY dir)
@@ -511,7 +518,7 @@ def _(c):
 SELECT sha256(k) AS digest, count(*) AS directories, min(path) AS first_path, max(file_count) AS file_count, max(total_size) AS total_size FROM d WHERE file_count >= 2 GROUP BY k HAVING count(*) > 1""")
 def _(c):
     f = c.files.where("volume_id = 'chat'").select("volume_id", "path", F.floor(F.octet_length("content") / 200).cast("long").alias("size_bytes"))
-    return dedup.duplicate_folders(dedup.folder_digests(f, 3))
+    return dedup.duplicate_folders(dedup.folder_digests(f))
 
 
 @query("treemap")

@@ -129,3 +129,15 @@ def test_hamming_pairs(spark):
     hs = [(i, b ^ sum(1 << x for x in r.sample(range(62), r.randint(0, 5)))) for i, b in enumerate(base * 3)]
     got = {(x.a, x.b) for x in dedup.hamming_pairs(spark.createDataFrame(hs, "id long, h long"), 6).collect()}
     assert got == {(i, j) for i, a in hs for j, b in hs if i < j and (a ^ b).bit_count() <= 6}
+
+
+def test_names_without_a_block_are_compared(spark):
+    names = spark.createDataFrame([(1, None, "report_final"), (2, None, "report_finale"), (3, "txt", "report_final")], "id long, block string, name string")
+    assert [(r.block, r.a, r.b) for r in dedup.similar_names(names).collect()] == [(None, "report_final", "report_finale")]
+
+
+def test_folders_at_any_depth_have_digests(spark):
+    rows = [("v", f"/{top}/b/c/d/e/{n}", 3) for top in "xy" for n in ("one", "two")] + [("v", "/x/b/other", 1)]
+    got = {r.path: (r.digest, r.file_count) for r in dedup.folder_digests(spark.createDataFrame(rows, "volume_id string, path string, size_bytes long")).collect()}
+    assert got["/x/b/c/d/e"][0] == got["/y/b/c/d/e"][0] and got["/x/b/c"][0] == got["/y/b/c"][0] and got["/x/b"][0] != got["/y/b"][0]
+    assert got["/x"][1] == 3 and got["/y"][1] == 2

@@ -10,7 +10,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     def plain(x) -> str:
-        if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+        if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x):
             return ""
         return str(int(x)) if isinstance(x, float) and x == int(x) else str(x)
 
