@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -462,12 +463,16 @@ def _(c):
     return pairs.select("a", "b", F.round(jaro_winkler_column("a", "b"), 6).alias("similarity"))
 
 
-@query("hamming_pairs", """WITH s AS (SELECT vec_id, CAST(sum(CASE WHEN embedding[i + 1] > 0 THEN CAST(1 AS UBIGINT) << i ELSE 0 END) AS UBIGINT) AS h FROM embeddings, unnest(range(0, 64)) AS u(i) GROUP BY vec_id)
-SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM s a JOIN s b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.h, b.h)) <= 7""", catalog=False)
+#: A hash of 64 bits that copies with few edits nearly share: the parities of a text's characters.
+_PARITIES = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 ."
+
+
+@query("hamming_pairs", f"""WITH s AS (SELECT doc_id, CAST(sum(CASE WHEN (length(text) - length(replace(text, substr('{_PARITIES}', i + 1, 1), ''))) % 2 = 1 THEN CAST(1 AS UBIGINT) << i ELSE 0 END) AS UBIGINT) AS h FROM documents, unnest(range(0, 64)) AS u(i) GROUP BY doc_id)
+SELECT a.doc_id AS a, b.doc_id AS b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM s a JOIN s b ON a.doc_id < b.doc_id WHERE bit_count(xor(a.h, b.h)) <= 3""", catalog=False)
 def _(c):
-    # the signs of all values as 64 bits
-    h = F.expr("aggregate(transform(slice(embedding, 1, 64), (x, i) -> if(x > 0, shiftleft(1L, i), 0L)), 0L, (a, x) -> a | x)")
-    return dedup.hamming_pairs(c.table("embeddings").select(F.col("vec_id").alias("id"), h.alias("h")), 7).withColumn("distance", F.col("distance").cast("int"))
+    bits = [F.shiftleft(F.pmod(F.length("text") - F.length(F.replace("text", F.lit(x), F.lit(""))), F.lit(2)).cast("long"), i) for i, x in enumerate(_PARITIES)]
+    h = reduce(lambda a, x: a.bitwiseOR(x), bits)
+    return dedup.hamming_pairs(c.table("documents").select(F.col("doc_id").alias("id"), h.alias("h")), 3).withColumn("distance", F.col("distance").cast("int"))
 
 
 def _referenced(c: Corpus) -> DataFrame:
