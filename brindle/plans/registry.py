@@ -153,10 +153,13 @@ def _(c):
     return l.join(F.broadcast(ids), "object_id", "left_semi").select("volume_id", "path")  # two ids
 
 
-@query("type_breakdown", """SELECT coalesce(category, 'Other') AS category, coalesce(color, '#9E9E9E') AS color, count(*) AS file_count, CAST(sum(size_bytes) AS BIGINT) AS total_bytes
-FROM locations l LEFT JOIN file_types t ON lower(l.extension) = t.extension WHERE volume_id = 'docs' AND NOT is_directory GROUP BY 1, 2""")
+@query("type_breakdown", """, n AS (SELECT * REPLACE ('all' AS volume_id, CASE fid % 5 WHEN 0 THEN 'xyz' WHEN 1 THEN 'JPG' ELSE extension END AS extension) FROM locations WHERE fid IS NOT NULL)
+SELECT coalesce(category, 'Other') AS category, coalesce(color, '#9E9E9E') AS color, count(*) AS file_count, CAST(sum(size_bytes) AS BIGINT) AS total_bytes
+FROM n l LEFT JOIN file_types t ON lower(l.extension) = t.extension WHERE NOT is_directory GROUP BY 1, 2""")
 def _(c):
-    return reports.type_breakdown(c.locations, c.file_types, "docs")
+    # the files of all volumes, some under other extensions: known ones in other case, and unknown ones
+    other = F.when(F.col("fid") % 5 == 0, "xyz").when(F.col("fid") % 5 == 1, "JPG").otherwise(F.col("extension"))
+    return reports.type_breakdown(c.locations.where("fid IS NOT NULL").withColumns({"volume_id": F.lit("all"), "extension": other}), c.file_types, "all")
 
 
 @query("stale_files", f"""SELECT path, name, extension, size_bytes, CAST(date_sub('day', modified_at, TIMESTAMP '{AS_OF}') AS BIGINT) AS days_stale FROM locations
@@ -224,9 +227,7 @@ _FILTERS = {
     "allocated": (_w("allocated", min=8192, max=2**64), "allocated_bytes BETWEEN 8192 AND 9223372036854775807"),
     "modified": (_w("modified", start="2022-03-01 00:00:00", end="2022-06-01 00:00:00"), "modified_at BETWEEN TIMESTAMP '2022-03-01' AND TIMESTAMP '2022-06-01'"),
     "tag": (_w("tag", tag="toxic"), "object_id IN (SELECT object_id FROM tag_links WHERE tag_id = 'toxic')"),
-    "stale_for": (_w("stale_for", days=30, as_of=AS_OF), "CAST(NULL AS BOOLEAN)"),
     "wasteful": (_w("wasteful", ratio=3.0), "CAST(allocated_bytes AS DOUBLE) / greatest(size_bytes, 1) > 3.0"),
-    "build_artifact": (_w("build_artifact"), "path ILIKE '%/node_modules/%' OR path ILIKE '%/target/%' OR path ILIKE '%/__pycache__/%' OR path ILIKE '%/.git/objects/%' OR path ILIKE '%/dist/%'"),
     "duplicate": (_w("duplicate"), "object_id IN (SELECT object_id FROM locations GROUP BY object_id HAVING count(*) > 1)"),
     "nested": (~_w("extension", extension="txt") & (_w("size", min=0, max=300) | _w("wasteful", ratio=20.0)), "NOT (lower(extension) = 'txt') AND (size_bytes BETWEEN 0 AND 300 OR CAST(allocated_bytes AS DOUBLE) / greatest(size_bytes, 1) > 20.0)"),
     "not_tag_or_duplicate": (~(_w("tag", tag="good") | _w("duplicate")), "NOT (object_id IN (SELECT object_id FROM tag_links WHERE tag_id = 'good') OR object_id IN (SELECT object_id FROM locations GROUP BY object_id HAVING count(*) > 1))"),
@@ -239,6 +240,21 @@ for _name, (_filter, _sql) in _FILTERS.items():
         return filters.apply_filter(c.locations, filters.Filter.from_json(f.to_json()), c.tag_links).select("id", "path")
 
 
+@query("filter_stale_for", f"SELECT id, path FROM locations WHERE fid % 3 > 0 AND modified_at < TIMESTAMP '{AS_OF}' - INTERVAL 300 DAY")
+def _(c):
+    # the catalog has no times of access: two files in three were read when they were written, of the rest none is known
+    read = c.locations.withColumn("accessed_at", F.when(F.col("fid") % 3 > 0, F.col("modified_at")))
+    return filters.apply_filter(read, _w("stale_for", days=300, as_of=AS_OF), c.tag_links).select("id", "path")
+
+
+@query("filter_build_artifact", """, p AS (SELECT id, '/v' || CASE fid % 7 WHEN 0 THEN '/node_modules' WHEN 1 THEN '/Target/x' WHEN 2 THEN '/a/__pycache__' WHEN 3 THEN '/.git/objects' WHEN 4 THEN '/dist' WHEN 5 THEN '/targets' ELSE '/src' END || path AS path, fid FROM locations)
+SELECT id, path FROM p WHERE fid % 7 < 5""")
+def _(c):
+    below = F.array(*[F.lit(x) for x in ("/node_modules", "/Target/x", "/a/__pycache__", "/.git/objects", "/dist", "/targets", "/src")])
+    placed = c.locations.withColumn("path", F.concat(F.lit("/v"), F.get(below, (F.col("fid") % 7).cast("int")), F.col("path")))
+    return filters.apply_filter(placed, _w("build_artifact"), c.tag_links).select("id", "path")
+
+
 # --- maintenance ---------------------------------------------------------------------------------------------------
 
 _BATCH_SQL = """, old AS (SELECT object_id AS id, kind, mime_type, size_bytes, 1 AS created_at, 1 AS updated_at, hash_state FROM objects WHERE substr(object_id, 1, 1) < 'c'
@@ -519,10 +535,10 @@ def _(c):
     return _folders(c)
 
 
-@query("duplicate_folders", """, f AS (SELECT regexp_extract(path, '^(.*)/', 1) AS dir, regexp_extract(path, '[^/]+$') || ':' || (strlen(content) // 200) AS item, strlen(content) // 200 AS s FROM files WHERE volume_id = 'chat'), d AS (SELECT dir AS path, string_agg(item, '|' ORDER BY item) AS k, count(*) AS file_count, CAST(sum(s) AS BIGINT) AS total_size FROM f GROUP BY dir)
+@query("duplicate_folders", """, f AS (SELECT regexp_extract(path, '^(.*)/', 1) AS dir, regexp_extract(path, '[^/]+$') || ':' || (strlen(content) // 1000) AS item, strlen(content) // 1000 AS s FROM files WHERE volume_id = 'chat'), d AS (SELECT dir AS path, string_agg(item, '|' ORDER BY item) AS k, count(*) AS file_count, CAST(sum(s) AS BIGINT) AS total_size FROM f GROUP BY dir)
 SELECT sha256(k) AS digest, count(*) AS directories, min(path) AS first_path, max(file_count) AS file_count, max(total_size) AS total_size FROM d WHERE file_count >= 2 GROUP BY k HAVING count(*) > 1""")
 def _(c):
-    f = c.files.where("volume_id = 'chat'").select("volume_id", "path", F.floor(F.octet_length("content") / 200).cast("long").alias("size_bytes"))
+    f = c.files.where("volume_id = 'chat'").select("volume_id", "path", F.floor(F.octet_length("content") / 1000).cast("long").alias("size_bytes"))
     return dedup.duplicate_folders(dedup.folder_digests(f))
 
 
