@@ -32,8 +32,8 @@ SHIFT, INSIDE = 2, 2
 BANDS, ROWS = 4, 2
 #: A bucket's hash has the number of its band in the lowest bits; a row without a band is a place of a repeat.
 BAND_BITS = 3
-#: Rounds of hubs; more would cost more than the pairs they leave.
-HUBS = 2
+#: Rounds of hubs; more would cost more than comparing the pairs they leave.
+HUBS = 1
 PLACE = "h long, name long, row long, pos int"
 
 
@@ -208,8 +208,8 @@ def repeated_passages(docs: DataFrame, threshold: float = SIMILARITY, bands: int
     # places without a bucket only pass; they are dealt evenly
     key = F.coalesce("h", F.xxhash64("name", "row", "pos"))
     ordered = emitted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions("h", "name", "row", "pos")
-    met = written(ordered.mapInArrow(_link, PLACE).distinct(), "met", f"{folder}/met")
-    buckets = met.where("h IS NOT NULL").select("h", F.col("name").alias("node"), "row")
+    met = written(ordered.mapInArrow(_link, PLACE), "met", f"{folder}/met")
+    buckets = met.where("h IS NOT NULL").select("h", F.col("name").alias("node"), "row").distinct()
     shared = buckets.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("least"), F.max("row").alias("most")).where("least < most").select("h", "n")
     members = with_hubs(buckets.select("h", "node").join(shared, "h"), folder)
     known = members.select(F.col("node").alias("name")).distinct()
