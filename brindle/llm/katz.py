@@ -253,12 +253,12 @@ def unigram_probabilities(counts: np.ndarray) -> np.ndarray:
     return p / p.sum()
 
 
-def discounted(keys: np.ndarray, counts: np.ndarray, low: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def discounted(histories: np.ndarray, counts: np.ndarray, low: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of one order's n-grams the probabilities; the histories, ascending, and their backoff weights.
 
-    keys: ascending; low: the probabilities of the n-grams after a history one byte shorter.
+    low: the probabilities of the n-grams after a history that is one symbol shorter.
     """
-    names, at = np.unique(keys >> np.uint64(8), return_inverse=True)
+    names, at = np.unique(histories, return_inverse=True)
     total = np.bincount(at, counts, len(names))
     p = d[np.minimum(counts, GT_MOST + 1)] * counts / total[at]
     used = np.bincount(at, p, len(names))
@@ -289,7 +289,7 @@ def order_two(counts: np.ndarray) -> np.ndarray:
     h, w = np.nonzero(counts)
     if len(h):
         c = counts[h, w]
-        p, names, weight = discounted((h.astype(np.uint64) << np.uint64(8)) | w.astype(np.uint64), c, p1[w], discounts(counts_of_counts(c)))
+        p, names, weight = discounted(h, c, p1[w], discounts(counts_of_counts(c)))
         out[names.astype(np.int64)] *= weight[:, None]
         out[h, w] = p
     return out
@@ -307,7 +307,7 @@ class Grams:
             else:
                 before, p, *_ = self.orders[k - 1]
                 low = p[found(before, (own >> np.uint64(16) << np.uint64(8)) | (own & np.uint64(255)))[0]]
-            self.orders[k] = own, *discounted(own, c, low, d[k])
+            self.orders[k] = own, *discounted(own >> np.uint64(8), c, low, d[k])
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         """log10 probabilities: of the longest history that was seen with the byte, times the weights of those that weren't."""

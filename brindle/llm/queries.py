@@ -60,9 +60,9 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .katz import katz_scores
+    from .katz_words import katz_word_scores
 
-    return katz_scores(_table(spark, sf_dir, "documents"))
+    return katz_word_scores(_table(spark, sf_dir, "documents"))
 
 
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
