@@ -11,8 +11,9 @@ once; words lie in buckets by hash. Words are then numbered by their counts, mos
 count, hence the probability of a single word, by a short table of the distinct counts. With these numbers a chunk asks
 for each distinct trigram once. Trigrams lie in buckets by their middle word, so that a bucket has all that they back
 off to; a word too frequent for one bucket has several, by the trigrams' first word, and the sums of its pairs go to
-each of them. A bucket is read twice: for its counts of counts, then for the answers, with which a chunk scores its
-documents.
+each of them. If the first word is that frequent too, what follows the two words is dealt by the last word, and the sums
+of the two words go to each of these buckets. A bucket is read twice: for its counts of counts, then for the answers,
+with which a chunk scores its documents.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, id_and_text, mix, shared_folder
-from .katz import CHUNK, GT_MOST, by_bucket, counts_of_counts, discounted, discounts, found, held_out, numbered, squeezed, summed, unsqueezed, word_bucket, words_of
+from .katz import CHUNK, GT_MOST, by_bucket, counts_of_counts, discounts, found, held_out, numbered, squeezed, summed, unsqueezed, word_bucket, words_of
 
 #: Numbers of what stands before a document, of its end, and of all words that were not learned; words follow.
 BEGIN, END, UNKNOWN, WORDS = 0, 1, 2, 3
@@ -125,23 +126,44 @@ class Singles:
 
 
 class Buckets:
-    """Where trigrams lie: by their middle word, or, if that has more than a bucket's share, in buckets of its own by their first word."""
+    """Where trigrams lie: by their middle word, or, if that has more than a bucket's share, in buckets of its own.
+
+    These are by the first word, from n on; by first and last word, from split on, if the first one has more than a
+    bucket's share too.
+    """
 
     def __init__(self, n: int, singles: Singles) -> None:
         many = np.diff(np.r_[singles.firsts[WORDS:].astype(np.int64), WORDS + singles.types - (singles.ends > 0)])
         over = singles.counts * n > singles.n
-        shares = np.repeat(-(-singles.counts[over] * n // max(1, singles.n)), many[over])
-        self.n, self.shares = n, shares.astype(np.int64)
+        # of the beginning (none, if it has no more than a share), then of words
+        counts = np.r_[singles.ends if singles.ends * n > singles.n else 0, np.repeat(singles.counts[over], many[over])]
+        self.n, self.shares = n, -(-counts * n // max(1, singles.n)).astype(np.int64)
         self.firsts = n + np.cumsum(self.shares) - self.shares
+        self.split = n + int(self.shares.sum())
+
+    def frequent(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which words have buckets of their own, and where they stand in shares."""
+        at = np.where(words == BEGIN, 0, words.astype(np.int64) - WORDS + 1)
+        yes = (words == BEGIN) | (words >= WORDS)
+        yes &= at < len(self.shares)
+        at[~yes] = 0
+        return yes & (self.shares[at] > 0), at
+
+    def of(self, word: int, split: bool) -> range:
+        at = 0 if word == BEGIN else word - WORDS + 1
+        start = int(self.firsts[at]) + (self.split - self.n if split else 0)
+        return range(start, start + int(self.shares[at]))
 
     def __call__(self, keys: np.ndarray, first: np.ndarray) -> np.ndarray:
         middle = keys >> HALF
         by_first = mix(first, 23)
         # nothing was learned after the unknown word: any bucket will do
         out = (np.where(middle == UNKNOWN, by_first, mix(middle, 22)) % np.uint64(self.n)).astype(np.int64)
-        own = np.flatnonzero((middle >= WORDS) & (middle < WORDS + len(self.shares)))
-        word = middle[own].astype(np.int64) - WORDS
-        out[own] = self.firsts[word] + (by_first[own] % self.shares[word].astype(np.uint64)).astype(np.int64)
+        yes, at = self.frequent(middle)
+        own = np.flatnonzero(yes)
+        split, at = self.frequent(first[own])[0], at[own]
+        by = np.where(split, mix(by_first[own] ^ keys[own], 24), by_first[own]) % self.shares[at].astype(np.uint64)
+        out[own] = self.firsts[at] + by.astype(np.int64) + np.where(split, self.split - self.n, 0)
         return out
 
 
@@ -231,27 +253,27 @@ def gram_counts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     first = np.concatenate([unsqueezed(x.as_py(), np.uint32) for x in table["first"]])
     counts = np.concatenate([unsqueezed(x.as_py(), np.uint32) for x in table["counts"]])
     order = np.lexsort((first, keys))
-    keys, first = keys[order], first[order]
+    keys, first, counts = keys[order], first[order], counts[order]
     new = np.r_[True, (keys[1:] != keys[:-1]) | (first[1:] != first[:-1])]
     which = np.empty(len(order), np.int32)
     which[order] = np.cumsum(new, dtype=np.int32) - 1
-    return keys[new], first[new], np.add.reduceat(counts[order], np.flatnonzero(new), dtype=np.int64), which
+    del order
+    return keys[new], first[new], np.add.reduceat(counts, np.flatnonzero(new), dtype=np.int64), which
 
 
 def pairs_of(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys of ascending ones, the sums of their counts, and which one each is."""
     new = np.r_[True, keys[1:] != keys[:-1]]
-    return keys[new], np.add.reduceat(counts, np.flatnonzero(new)), np.cumsum(new) - 1
+    return keys[new], np.add.reduceat(counts, np.flatnonzero(new)), np.cumsum(new, dtype=np.int32) - 1
 
 
-COUNTED = "word long, bucket int, keys binary, counts binary, two array<long>, three array<long>"
+#: Of a bucket or word: its pairs (used is null) or its histories of two words.
+SUMS = "word long, bucket int, keys binary, counts binary, used binary, known binary, two array<long>, three array<long>"
+SUMS_ARROW = pa.schema([("word", pa.int64()), ("bucket", pa.int32()), *[(k, pa.binary()) for k in ("keys", "counts", "used", "known")], ("two", pa.list_(pa.int64())), ("three", pa.list_(pa.int64()))])
 
 
-def counted(word: int | None, bucket: int | None, keys: np.ndarray, counts: np.ndarray, two: list[int], three: list[int]) -> dict:
-    return {"word": word, "bucket": bucket, "keys": squeezed(keys, True), "counts": squeezed(counts), "two": two, "three": three}
-
-
-COUNTED_ARROW = pa.schema([("word", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("two", pa.list_(pa.int64())), ("three", pa.list_(pa.int64()))])
+def joined(column: pa.ChunkedArray, dtype, ascending: bool = False) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype), *[unsqueezed(x.as_py(), dtype, ascending) for x in column]])
 
 
 def count(n: int):
@@ -259,14 +281,14 @@ def count(n: int):
 
     def run(table: pa.Table) -> pa.Table:
         keys, _, counts, _ = gram_counts(table)
-        three = counts_of_counts(counts)
+        row = {"three": counts_of_counts(counts)}
         own, c, _ = pairs_of(keys, counts)
         own, c = own[c > 0], c[c > 0]
         if table["bucket"][0].as_py() < n:
-            row = counted(None, None, own[:0], c[:0], counts_of_counts(c), three)
-        else:
-            row = counted(int(keys[0] >> HALF), None, own, c, [0] * (GT_MOST + 1), three)
-        return pa.Table.from_pylist([row], COUNTED_ARROW)
+            row["two"] = counts_of_counts(c)
+        elif len(own):
+            row |= {"word": int(keys[0] >> HALF), "keys": squeezed(own, True), "counts": squeezed(c)}
+        return pa.Table.from_pylist([row], SUMS_ARROW)
 
     return run
 
@@ -276,40 +298,111 @@ def sum_pairs(bucket: Buckets):
 
     def run(table: pa.Table) -> pa.Table:
         word = table["word"][0].as_py()
-        keys, counts = summed(np.concatenate([unsqueezed(x.as_py(), np.uint64, True) for x in table["keys"]]), np.concatenate([unsqueezed(x.as_py(), np.int64) for x in table["counts"]]))
-        at, none = int(bucket.firsts[word - WORDS]), [0] * (GT_MOST + 1)
-        return pa.Table.from_pylist([counted(word, at + i, keys, counts, none if i else counts_of_counts(counts), none) for i in range(int(bucket.shares[word - WORDS]))], COUNTED_ARROW)
+        keys, counts = summed(joined(table["keys"], np.uint64, True), joined(table["counts"], np.int64))
+        row = {"word": word, "keys": squeezed(keys, True), "counts": squeezed(counts)}
+        rows = [row | {"bucket": b} for split in (False, True) for b in bucket.of(word, split)]
+        rows[0]["two"] = counts_of_counts(counts)
+        return pa.Table.from_pylist(rows, SUMS_ARROW)
 
     return run
 
 
-def answer(singles: Singles, two: np.ndarray, three: np.ndarray):
-    """A bucket's requests, and the pairs of its word if that has several buckets, to answers: log10 probabilities of trigrams. two, three: factors of the counts."""
+def sums_of(histories: np.ndarray, counts: np.ndarray, low: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of learned n-grams the distinct histories, ascending, with the sums of counts, of discounted counts, and of low, the probabilities after a history one word shorter."""
+    names, at = np.unique(histories, return_inverse=True)
+    return names, np.bincount(at, counts, len(names)), np.bincount(at, d[np.minimum(counts, GT_MOST + 1)] * counts, len(names)), np.bincount(at, low, len(names))
+
+
+def factors(total: np.ndarray, used: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From these sums of histories what makes a discounted count a probability, and the backoff weight."""
+    used = used / total
+    # a history whose counts are all large frees nothing: give it one count more
+    scale = np.where((used >= 1 - 1e-12) & (known < 1), total / (total + 1), 1.0)
+    used = used * scale
+    every = known >= 1 - 1e-12  # seen with all words: nothing to back off to
+    weight = np.where(every, 0.0, np.maximum(1 - used, 1e-300) / np.maximum(1 - known, 1e-300))
+    return np.where(every, scale / used, scale) / total, weight
+
+
+def backed_off(asked: np.ndarray, low: np.ndarray, own: np.ndarray, counts: np.ndarray, d: np.ndarray, sums: tuple) -> np.ndarray:
+    """Probabilities of n-grams: of those with counts (places own) their share, of others that of low, times their history's weight, if that was learned.
+
+    asked: histories; sums: of histories, as by sums_of.
+    """
+    if not len(sums[0]):
+        return low
+    factor, weight = factors(*sums[1:])
+    at, seen = found(sums[0], asked)
+    out = low * np.where(seen, weight[at], 1.0)
+    out[own] = d[np.minimum(counts, GT_MOST + 1)] * counts * factor[at[own]]
+    return out
+
+
+def after_one(singles: Singles, keys: np.ndarray, counts: np.ndarray, pairs: tuple[np.ndarray, np.ndarray] | None, d: np.ndarray) -> np.ndarray:
+    """Of a bucket's trigrams the probabilities of their last words after their middle ones. pairs: of a word that has several buckets."""
 
     def single(keys: np.ndarray) -> np.ndarray:
         return singles.p[singles.at(keys & np.uint64(0xFFFFFFFF))]
 
-    def run(table: pa.Table, pairs: pa.Table) -> pa.Table:
+    asked, c, pair = pairs_of(keys, counts)
+    own, c = (asked[c > 0], c[c > 0]) if pairs is None else pairs
+    at, hit = found(own, asked)
+    sums = sums_of(own >> HALF, c, single(own), d)
+    return backed_off(asked >> HALF, single(asked), np.flatnonzero(hit), c[at[hit]], d, sums)[pair]
+
+
+def pairs_in(table: pa.Table) -> tuple[np.ndarray, np.ndarray] | None:
+    rows = [r for r in table.to_pylist() if r["used"] is None]
+    return (unsqueezed(rows[0]["keys"], np.uint64, True), unsqueezed(rows[0]["counts"], np.int64)) if rows else None
+
+
+def count_histories(singles: Singles, two: np.ndarray, three: np.ndarray):
+    """A bucket by first and last word, and its middle word's pairs, to the sums of its histories."""
+
+    def run(table: pa.Table, known: pa.Table) -> pa.Table:
+        if not table.num_rows or not known.num_rows:
+            return SUMS_ARROW.empty_table()
+        keys, first, counts, _ = gram_counts(table)
+        low = after_one(singles, keys, counts, pairs_in(known), two)
+        yes = counts > 0
+        names, total, used, low = sums_of((keys[yes] >> HALF << HALF) | first[yes], counts[yes], low[yes], three)
+        row = {"word": int(keys[0] >> HALF), "bucket": table["bucket"][0].as_py(), "keys": squeezed(names, True), "counts": squeezed(total), "used": squeezed(used), "known": squeezed(low)}
+        return pa.Table.from_pylist([row] if len(names) else [], SUMS_ARROW)
+
+    return run
+
+
+def sum_histories(bucket: Buckets):
+    """The histories' sums of a middle word, from all of its buckets by first and last word to each."""
+
+    def run(table: pa.Table) -> pa.Table:
+        word, table = table["word"][0].as_py(), table.sort_by("bucket")
+        names, at = np.unique(joined(table["keys"], np.uint64, True), return_inverse=True)
+        sums = {k: squeezed(np.bincount(at, joined(table[k], np.float64), len(names))) for k in ("counts", "used", "known")}
+        return pa.Table.from_pylist([{"word": word, "bucket": b, "keys": squeezed(names, True), **sums} for b in bucket.of(word, True)], SUMS_ARROW)
+
+    return run
+
+
+def answer(singles: Singles, two: np.ndarray, three: np.ndarray, split: int):
+    """A bucket's requests, and the pairs and histories that it shares with others, to answers: log10 probabilities of trigrams. two, three: factors of the counts."""
+
+    def run(table: pa.Table, known: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.Table.from_batches([rows_of([])])
         keys, first, counts, which = gram_counts(table)
-        asked, c, pair = pairs_of(keys, counts)
-        own, c = (unsqueezed(pairs["keys"][0].as_py(), np.uint64, True), unsqueezed(pairs["counts"][0].as_py(), np.int64)) if pairs.num_rows else (asked[c > 0], c[c > 0])
-        p, names, weight = discounted(own >> HALF, c, single(own), two)
-        low = single(asked)
-        if len(own):
-            at, seen = found(names, asked >> HALF)
-            low *= np.where(seen, weight[at], 1.0)
-            at, hit = found(own, asked)
-            low = np.where(hit, p[at], low)
-        low = low[pair]
-        history, learned = (keys >> HALF << HALF) | first, counts > 0
-        p, names, weight = discounted(history[learned], counts[learned], low[learned], three)
-        if len(names):
-            at, seen = found(names, history)
-            low *= np.where(seen, weight[at], 1.0)
-            low[learned] = p
-        logs = np.log10(low).astype(np.float32)[which]
+        low = after_one(singles, keys, counts, pairs_in(known), two)
+        keys >>= HALF
+        keys <<= HALF
+        keys |= first
+        own = np.flatnonzero(counts)
+        counts = counts[own]
+        if table["bucket"][0].as_py() < split:
+            sums = sums_of(keys[own], counts, low[own], three)
+        else:
+            rows = [r for r in known.to_pylist() if r["used"] is not None]
+            sums = (unsqueezed(rows[0]["keys"], np.uint64, True), *[unsqueezed(rows[0][k], np.float64) for k in ("counts", "used", "known")]) if rows else (keys[:0],)
+        logs = np.log10(backed_off(keys, low, own, counts, three, sums)).astype(np.float32)[which]
         out, done = [], 0
         for chunk, at, x in zip(table["chunk"].to_pylist(), table["at"].to_pylist(), table["counts"], strict=True):
             n = len(unsqueezed(x.as_py(), np.uint32))
@@ -367,12 +460,15 @@ def katz_word_scores(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
     forget(texts, many)
 
     asked = numbers.where("kind = 'gram'").select("chunk", "bucket", "at", "keys", "first", "counts")
-    sums = stored(asked.groupBy("bucket").applyInArrow(count(n), COUNTED), "counts", COUNTED)
-    pairs = stored(sums.where("word IS NOT NULL").groupBy("word").applyInArrow(sum_pairs(bucket), COUNTED), "pairs", COUNTED)
+    sums = stored(asked.groupBy("bucket").applyInArrow(count(n), SUMS), "counts", SUMS)
+    pairs = stored(sums.where("word IS NOT NULL").groupBy("word").applyInArrow(sum_pairs(bucket), SUMS), "pairs", SUMS)
     of = [F.coalesce(F.sum(F.get(k, F.lit(i))), F.lit(0)) for k in ("two", "three") for i in range(GT_MOST + 1)]
     r = sums.select("two", "three").unionByName(pairs.select("two", "three")).agg(*of).first()
     two, three = discounts(list(r[: GT_MOST + 1])), discounts(list(r[GT_MOST + 1 :]))
-    answered = asked.groupBy("bucket").cogroup(pairs.select("bucket", "keys", "counts").groupBy("bucket")).applyInArrow(answer(singles, two, three), ROW)
+    split = F.col("bucket") >= bucket.split
+    histories = asked.where(split).groupBy("bucket").cogroup(pairs.where(split).groupBy("bucket")).applyInArrow(count_histories(singles, two, three), SUMS)
+    known = pairs.unionByName(stored(histories.groupBy("word").applyInArrow(sum_histories(bucket), SUMS), "histories", SUMS))
+    answered = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answer(singles, two, three, bucket.split), ROW)
     scored = numbers.where("kind = 'chunk'").unionByName(answered).groupBy("chunk").applyInArrow(score_chunk, SCORED)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(singles.n).cast("long").alias("train_tokens"), "base_score", "score")
 

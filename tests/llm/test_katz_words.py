@@ -56,7 +56,8 @@ def base_scores(rows):
 
 def test_scores_equal_brute_force(spark, documents, odd_docs, tmp_path):
     null = spark.createDataFrame([(None, "all are held out"), (None, None)], "doc_id long, text string")
-    for i, df in enumerate((documents, odd_docs, null)):
+    blank = spark.createDataFrame([(1, None), (2, ""), (3, " \n"), (4, "")], "doc_id long, text string")
+    for i, df in enumerate((documents, odd_docs, null, blank)):
         df.select("doc_id", "text").repartition(5).write.parquet(f"{tmp_path}/{i}/documents.parquet")
         rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
         docs = spark.read.parquet(f"{tmp_path}/{i}/documents.parquet")
@@ -77,5 +78,20 @@ def test_spelling_of_words_does_not_matter(spark, documents, tmp_path):
     assert len(a) > 20 and a.keys() == b.keys() and all(abs(a[d] - b[d]) < 1e-3 for d in a)
 
 
+def test_frequent_words_have_several_buckets(spark):
+    """Words, pairs and beginnings with more than a bucket's share: their trigrams are dealt out, and scores stay the same."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{min(x, 400)}" for x in rng.zipf(1.7, rng.integers(0, 12)))) for i in range(1500)]
+    got = katz_words.katz_word_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), chunk_bytes=9000).collect()
+    for (d, x), (e, y) in zip(sorted((str(r.doc_id), r.score) for r in got), plain_model(rows), strict=True):
+        assert d == e and abs(x - y) < 1e-4
+    singles = katz_words.Singles(np.array([700, 500, 1]), np.array([1, 1, 100]), 300)
+    bucket = katz_words.Buckets(16, singles)
+    last = np.arange(3, 100, dtype=np.uint64)
+    for middle, first, several in ((0, 0, True), (3, 3, True), (3, 0, True), (4, 3, True), (3, 50, False), (50, 3, False)):
+        at = bucket((np.uint64(middle) << katz_words.HALF) | last, np.full(len(last), first, np.uint32))
+        assert (len(set(at)) > 1) == several and at.max() < 2 * bucket.split - bucket.n
+
+
 def test_empty(no_docs):
     assert katz_words.katz_word_scores(no_docs).collect() == []
