@@ -12,6 +12,7 @@ is extended word by word, as long as they agree with the first.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,36 +35,70 @@ BANDS, ROWS = 4, 2
 BAND_BITS = 3
 #: Rounds of hubs; more would cost more than comparing the pairs they leave.
 HUBS = 1
+#: Characters of texts that are hashed together: arrays of their words fit into a processor's cache.
+TOGETHER = 200_000
 PLACE = "h long, name long, row long, pos int"
 
 
-def anchored(hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All shingles of a text's words, and where its paragraphs begin."""
-    if len(hashed) < WORDS:
-        return hashed[:0], np.zeros(0, np.int64)
-    s = shingles(hashed, SHINGLE)
+def _last_least(x: np.ndarray, width: int) -> np.ndarray:
+    """Where the least of each run of width values stands; of equal ones the last."""
+    at, span = np.arange(len(x)), 1
+    while span < width:
+        step = min(span, width - span)
+        at = np.where(x[step:] <= x[:-step], at[step:], at[:-step])
+        x, span = np.minimum(x[step:], x[:-step]), span + step
+    return at
+
+
+def _minima(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each run of width values."""
+    span = 1
+    while span < width:
+        step = min(span, width - span)
+        x, span = np.minimum(x[step:], x[:-step]), span + step
+    return x
+
+
+def anchored(hashed: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts of so many words, one behind another: which texts have paragraphs, one entry for each, and where in all words these begin."""
+    first, places = np.cumsum(lengths) - lengths, lengths - WORDS + 1
+    some = np.flatnonzero(places > 0)
+    if not len(some):
+        return some, some
     with np.errstate(over="ignore"):
-        pair = mix(hashed[:-1] * np.uint64(3) + hashed[1:], 31)
-    places = pair[: len(hashed) - WORDS + 1]
-    runs = np.lib.stride_tricks.sliding_window_view(places, min(WINDOW, len(places)))
-    at = np.unique(np.arange(len(runs)) + runs.shape[1] - 1 - runs[:, ::-1].argmin(1))  # of equal ones the last
-    return s, at
+        pair = mix(hashed[:-1] * np.uint64(3) + hashed[1:], 31) >> np.uint64(1)
+    pair = np.r_[pair, np.full(WINDOW, np.iinfo(np.uint64).max, np.uint64)]
+    # a text's last words begin no paragraph: a text with fewer places than WINDOW has one run, which they fill up
+    none = np.minimum(lengths, WORDS - 1)
+    ends = np.cumsum(none)
+    pair[np.repeat(first + lengths - none, none) + np.arange(ends[-1]) - np.repeat(ends - none, none)] = np.iinfo(np.uint64).max
+    runs = np.maximum(places[some] - WINDOW + 1, 1)
+    text = np.repeat(some, runs)
+    run = first[text] + np.arange(len(text)) - np.repeat(np.cumsum(runs) - runs, runs)
+    at = np.where(places[text] == 1, first[text], _last_least(pair, WINDOW)[run])
+    new = np.r_[True, at[1:] != at[:-1]]
+    return text[new], at[new]
 
 
-def paragraphs(hashed: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places, names (hashes of all words) and n x bands band hashes."""
-    s, at = anchored(hashed)
+def paragraphs_of(hashed: np.ndarray, lengths: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts of so many words, one behind another: paragraphs' texts, places, names (hashes of all words) and n x bands band hashes."""
+    text, at = anchored(hashed, lengths)
+    joint = np.zeros((len(at), bands), np.uint64)
     if not len(at):
-        return at, s, np.zeros((0, bands), np.uint64)
+        return text, at, hashed[:0], joint
+    s = shingles(hashed, SHINGLE)
     name = np.full(len(at), WORDS, np.uint64)
     for i in range(0, WORDS - SHINGLE + 1, SHINGLE):
         name = mix(name ^ s[at + i], 32)
-    inside = np.arange(WORDS - SHINGLE + 1)
-    joint = np.zeros((len(at), bands), np.uint64)
     for b in range(bands):
         for r in range(rows):
-            joint[:, b] = mix(joint[:, b] ^ mix(s, 40 + b * rows + r)[at[:, None] + inside].min(1), b)
-    return at, name, joint
+            joint[:, b] = mix(joint[:, b] ^ _minima(mix(s, 40 + b * rows + r), WORDS - SHINGLE + 1)[at], b)
+    return text, at - (np.cumsum(lengths) - lengths)[text], name, joint
+
+
+def paragraphs(hashed: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One text's places, names and band hashes."""
+    return paragraphs_of(hashed, np.array([len(hashed)]), bands, rows)[1:]
 
 
 def _batch(h: np.ndarray, name: np.ndarray, row: np.ndarray, pos: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
@@ -79,26 +114,25 @@ def _emit(bands: int, rows: int):
         hasher, first = WordHasher(), {}
         band = np.arange(bands, dtype=np.uint64)
         for batch in batches:
-            for part, texts in portions(batch, 1, 500, 1_000_000):
-                cols: list[list[np.ndarray]] = [[] for _ in range(5)]
-                for row, text in zip(part.column(0).to_pylist(), texts, strict=True):
-                    at, name, joint = paragraphs(hasher(text.encode("utf-8", "surrogatepass").split()), bands, rows)
-                    if not len(at):
-                        continue
-                    hubs = [first.setdefault(n, (row, p)) for n, p in zip(name.tolist(), at.tolist(), strict=True)]
-                    hub_row, hub_pos = (np.array(x, np.int64) for x in zip(*hubs, strict=True))
-                    new = (hub_row == row) & (hub_pos == at)
-                    h = mix(joint[new], 50) & ~np.uint64((1 << BAND_BITS) - 1) | band
-                    n, old = h.size, np.flatnonzero(~new)
-                    both, own = np.r_[old, old], np.full(len(at), row, np.int64)
-                    of_h, of_name = np.r_[h.ravel(), np.zeros(len(both), np.uint64)], np.r_[np.repeat(name[new], bands), name[both]]
-                    of_row, of_pos = np.r_[np.full(n, row), own[old], hub_row[old]], np.r_[np.repeat(at[new], bands), at[old], hub_pos[old]]
-                    for c, x in zip(cols, (of_h, of_name, of_row, of_pos, np.arange(n + len(both)) >= n), strict=True):
-                        c.append(x)
+            for part, texts in portions(batch, 1, 500, TOGETHER):
+                words = [text.encode("utf-8", "surrogatepass").split() for text in texts]
+                lengths = np.array([len(w) for w in words])
+                text, at, name, joint = paragraphs_of(hasher(list(chain.from_iterable(words))), lengths, bands, rows)
+                if not len(at):
+                    continue
+                row = part.column(0).to_numpy()[text]
+                places = list(zip(row.tolist(), at.tolist(), strict=True))
+                hubs = [first.setdefault(n, p) for n, p in zip(name.tolist(), places, strict=True)]
+                new = np.array([hub is p for hub, p in zip(hubs, places, strict=True)])
+                old = np.flatnonzero(~new)
+                hub_row, hub_pos = np.array([hubs[i] for i in old.tolist()], np.int64).reshape(-1, 2).T
+                h = mix(joint[new], 50) & ~np.uint64((1 << BAND_BITS) - 1) | band
+                n, both = h.size, np.r_[old, old]
+                of_h, of_name = np.r_[h.ravel(), np.zeros(len(both), np.uint64)], np.r_[np.repeat(name[new], bands), name[both]]
+                of_row, of_pos = np.r_[np.repeat(row[new], bands), row[old], hub_row], np.r_[np.repeat(at[new], bands), at[old], hub_pos]
                 if len(first) > 300_000:
                     first.clear()
-                if cols[0]:
-                    yield _batch(*(np.concatenate(c) for c in cols))
+                yield _batch(of_h, of_name, of_row, of_pos, np.arange(n + len(both)) >= n)
 
     return run
 

@@ -1,5 +1,7 @@
 import random
 
+import pyarrow as pa
+
 from brindle.llm import passages
 from brindle.llm.common import WordHasher
 from brindle.llm.passages import repeated_passages
@@ -113,3 +115,28 @@ def test_links_equal_brute_force(spark):
     want = brute(rows)
     got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), bands=8, rows=1).collect()
     assert {x.doc_id: x.n_repeated for x in got if x.n_repeated} == want
+
+
+def test_many_texts_are_hashed_together(monkeypatch):
+    """The paragraphs of texts of all lengths are those of one text at a time, but the hashing isn't called for each text."""
+    r = random.Random(7)
+    texts = [" ".join(r.choices("abcdef", k=n) if n % 3 else words(r, n)) for n in [*range(80), 24, 25, 25, 26, 50, 400, 3000]]
+    hashed = [WordHasher()(t.encode().split()) for t in texts]
+    want = [(i, *x) for i, h in enumerate(hashed) for x in zip(*(c.tolist() for c in passages.paragraphs(h)), strict=True)]
+    # of each run of places the last of the least pairs of words
+    for i, h in enumerate(hashed):
+        pair = passages.mix(h[:-1] * passages.np.uint64(3) + h[1:], 31).tolist()[: max(0, len(h) - passages.WORDS + 1)]
+        width = min(passages.WINDOW, len(pair))
+        runs = [range(s, s + width) for s in range(len(pair) - width + 1) if width]
+        assert sorted({min(run, key=lambda p: (pair[p], -p)) for run in runs}) == [x[1] for x in want if x[0] == i]
+    calls = []
+    mix = passages.mix
+    monkeypatch.setattr(passages, "mix", lambda *a: calls.append(1) or mix(*a))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["row", "text"])
+    got = [x for b in passages._emit(passages.BANDS, passages.ROWS)([batch]) for x in b.to_pylist() if x["h"] is not None]
+    assert len(calls) < len(texts)
+    first = {name: (i, p) for i, p, name, _ in reversed(want)}
+    band = passages.np.arange(passages.BANDS, dtype=passages.np.uint64)
+    low = passages.np.uint64((1 << passages.BAND_BITS) - 1)
+    bands = {(*first[name], name, h) for i, p, name, joint in want if first[name] == (i, p) for h in (mix(passages.np.array(joint, passages.np.uint64), 50) & ~low | band).tolist()}
+    assert len(got) == len(bands) and {(x["row"], x["pos"], x["name"] % 2**64, x["h"] % 2**64) for x in got} == bands
